@@ -69,14 +69,25 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, pct: bool = True) -> DataFrame:
-    """Average-tie rank of ``value`` in its group; divided by the non-NULL count when ``pct``."""
-    pos = value_positions(df, keys, value)
+def with_average_ranks(
+    df: DataFrame, keys: Sequence[str], row: Sequence[str], ranks: dict[str, str], pct: bool = True
+) -> DataFrame:
+    """Average-tie ranks of several columns within ``keys``, in one pass over a long table.
+
+    ``row`` names the columns that identify a row inside its group. NULL stays NULL; with
+    ``pct`` the rank is divided by the group's non-NULL count.
+    """
+    keys, row = list(keys), list(row)
+    long = df.select(*keys, *row, *[F.col(c).cast("double").alias(c) for c in ranks]).unpivot([*keys, *row], list(ranks), "_f", "_v")
+    long = long.where(F.col("_v").isNotNull())
     rank = F.col("n_below") + (F.col("n_eq") + 1) / 2.0
-    expr = rank / F.col("n_all") if pct else rank
-    pos = pos.select(*keys, F.col(value).alias("_v"), expr.alias(out))
-    joined = join_keys(df.withColumn("_v", F.col(value).cast("double")), pos, [*keys, "_v"], "left")
-    return joined.drop("_v")
+    pos = value_positions(long, [*keys, "_f"], "_v").select(
+        *keys, "_f", "_v", (rank / F.col("n_all") if pct else rank).alias("_r")
+    )
+    wide = join_keys(long, pos, [*keys, "_f", "_v"]).groupBy(*keys, *row).agg(
+        *[F.max(F.when(F.col("_f") == c, F.col("_r"))).alias(out) for c, out in ranks.items()]
+    )
+    return join_keys(df, wide, [*keys, *row], "left")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitgrid.functions.columns import clip, count_present, mean_present, safe_divide, visible_on
-from pitgrid.functions.groups import join_keys, latest, quantiles, top_k, with_average_rank
+from pitgrid.functions.groups import join_keys, latest, quantiles, top_k, with_average_ranks
+from pitgrid.functions.staging import stage
 from pitgrid.operators.asof import (
     BENCHMARK_TICKER, asof_join, expand_intervals, latest_asof_facts, latest_instrument,
     latest_returns_asof, latest_score_asof, pivot_metrics, price_precedence, universe_asof,
@@ -54,24 +55,37 @@ def ensure_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def calibrated_inverse_multiple(df: DataFrame, keys: Sequence[str], numerator: str, denominator: str, multiple: str, out: str) -> DataFrame:
-    """1 / reported multiple, else raw ratio rescaled by the group's median raw / reported.
+def calibrated_inverse_multiples(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """per output name (numerator, denominator, reported multiple): 1 / multiple, else the raw
+    ratio rescaled by the group's median raw / reported.
 
-    The scale counts only with at least 3 overlapping rows and when it is above 10.
+    The scale counts only with at least 3 overlapping rows and when it is above 10. All
+    outputs share one pass over a long table of overlaps.
     """
     keys = list(keys)
-    df = df.withColumn("_raw", safe_divide(numerator, denominator)).withColumn("_rep", safe_divide(F.lit(1.0), multiple))
-    overlap = df.where(F.abs("_rep") > 1e-12).withColumn("_q", F.abs(F.col("_raw") / F.col("_rep")))
-    scale = quantiles(overlap, keys, "_q", {"_scale": 0.5}).where("n_all >= 3 AND _scale > 10").select(*keys, "_scale")
-    df = join_keys(df, scale, keys, "left")
-    return df.withColumn(out, F.coalesce("_rep", F.col("_raw") / F.coalesce("_scale", F.lit(1.0)))).drop("_raw", "_rep", "_scale")
+    df = df.withColumns({f"_raw_{o}": safe_divide(n, d) for o, (n, d, _) in specs.items()})
+    df = df.withColumns({f"_rep_{o}": safe_divide(F.lit(1.0), m) for o, (_, _, m) in specs.items()})
+    ratio = {o: F.when(F.abs(f"_rep_{o}") > 1e-12, F.abs(F.col(f"_raw_{o}") / F.col(f"_rep_{o}"))) for o in specs}
+    overlap = df.select(*keys, *[e.alias(o) for o, e in ratio.items()]).unpivot(keys, list(specs), "_out", "_q")
+    scale = quantiles(overlap, [*keys, "_out"], "_q", {"_scale": 0.5}).where("n_all >= 3 AND _scale > 10")
+    wide = scale.groupBy(*keys).agg(*[F.max(F.when(F.col("_out") == o, F.col("_scale"))).alias(f"_scale_{o}") for o in specs])
+    df = join_keys(df, wide, keys, "left")
+    df = df.withColumns({
+        o: F.coalesce(F.col(f"_rep_{o}"), F.col(f"_raw_{o}") / F.coalesce(f"_scale_{o}", F.lit(1.0))) for o in specs
+    })
+    return df.drop(*[f"_{p}_{o}" for p in ("raw", "rep", "scale") for o in specs])
+
+
+INVERSE_MULTIPLES = {
+    "_earnings_yield": ("net_income", "market_cap", "price_to_earnings"),
+    "_ebitda_to_ev": ("ebitda", "enterprise_value", "tev_ebitda"),
+}
 
 
 def fundamental_ratios(df: DataFrame, keys: Sequence[str] = ("signal_date",)) -> DataFrame:
     """ten ratios; a value exported by the vendor wins over the derived one."""
     df = ensure_columns(df, [*RATIO_INPUTS, *EXPORTED_RATIOS])
-    df = calibrated_inverse_multiple(df, keys, "net_income", "market_cap", "price_to_earnings", "_earnings_yield")
-    df = calibrated_inverse_multiple(df, keys, "ebitda", "enterprise_value", "tev_ebitda", "_ebitda_to_ev")
+    df = calibrated_inverse_multiples(df, keys, INVERSE_MULTIPLES)
     derived = {
         "earnings_yield": F.col("_earnings_yield"),
         "fcf_yield": safe_divide("free_cash_flow", "market_cap"),
@@ -85,7 +99,7 @@ def fundamental_ratios(df: DataFrame, keys: Sequence[str] = ("signal_date",)) ->
         "eps_growth": F.abs(safe_divide("eps", "eps_prior_year")) - 1,
         "margin_change": F.col("operating_margin") - F.col("operating_margin_prior_year"),
     }
-    return df.withColumns({n: F.coalesce(F.col(n).cast("double"), e) for n, e in derived.items()}).drop("_earnings_yield", "_ebitda_to_ev")
+    return df.withColumns({n: F.coalesce(F.col(n).cast("double"), e) for n, e in derived.items()}).drop(*INVERSE_MULTIPLES)
 
 
 def breadth(up: Column, down: Column, analysts: Column) -> Column:
@@ -292,7 +306,7 @@ def revision_fallback(df: DataFrame) -> DataFrame:
 
 def feature_frame(membership, instruments, fundamentals, estimates, prices, dates, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Universe with every raw feature; members without data keep a row of NULLs."""
-    uni = universe_asof(membership, instruments, dates)
+    uni = stage(universe_asof(membership, instruments, dates), "universe")
     fund = pivot_metrics(latest_asof_facts(fundamentals, dates, "period_end"), [*RATIO_INPUTS, *EXPORTED_RATIOS])
     est = pivot_metrics(latest_asof_facts(estimates, dates, "fiscal_period"), [*REVISION_INPUTS, *EXPORTED_REVISIONS])
     key = ["signal_date", "company_id"]
@@ -301,7 +315,8 @@ def feature_frame(membership, instruments, fundamentals, estimates, prices, date
         .join(estimate_change_asof(estimates, dates), key, "left")
         .join(market_features(prices, uni, lookback_days), key, "left")
     )
-    return ensure_columns(revision_fallback(fundamental_ratios(df)), FEATURES)
+    df = stage(df, "features")  # the calibration and the z-scores each scan this several times
+    return stage(ensure_columns(revision_fallback(fundamental_ratios(df)), FEATURES), "ratios")
 
 
 def factor_snapshot(membership, instruments, fundamentals, estimates, prices, dates, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -355,7 +370,7 @@ def short_horizon_overlay(market_returns: DataFrame, instruments: DataFrame, dat
 def operational_rank(snapshot: DataFrame, scores: DataFrame, overlay: DataFrame) -> DataFrame:
     """half factor rank, half model score, plus at most a tenth of short-horizon score."""
     dates = snapshot.select("signal_date").distinct()
-    ranked = with_average_rank(snapshot, ["signal_date"], "factor_score", "factor_rank").fillna({"factor_rank": 0.0})
+    ranked = with_average_ranks(snapshot, ["signal_date"], ["company_id"], {"factor_score": "factor_rank"}).fillna({"factor_rank": 0.0})
     ml = latest_score_asof(scores, dates).select("signal_date", "company_id", F.col("ml_score").alias("_ml"))
     key = ["signal_date", "company_id"]
     df = ranked.drop("ml_score").join(ml, key, "left").join(overlay.select(*key, "short_horizon_score"), key, "left")

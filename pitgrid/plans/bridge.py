@@ -11,6 +11,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitgrid.functions.staging import stage
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -298,6 +300,14 @@ def closure(wanted: list[str], spark: bool = False) -> list[str]:
     return out
 
 
+# Derived tables that many queries share; written once per session, then scanned.
+STAGED = {
+    "prices", "raw_prices", "prices_best", "signals", "fundamentals", "estimates", "market_returns", "factor_panel",
+    "forward", "labelled", "macro", "decisions", "holdings", "index_membership", "instruments", "membership_events", "membership_seed",
+    "source_files",
+}
+
+
 class Tables:
     """Base tables and derived views of one data folder, as lazy DataFrames."""
 
@@ -320,7 +330,8 @@ class Tables:
         escaped = text.replace("{", "{{").replace("}", "}}")
         for m in used:
             escaped = re.sub(rf"\b(FROM|JOIN)\s+{m}\b", rf"\1 {{{m}}}", escaped)
-        return self.spark.sql(escaped, **used)
+        df = self.spark.sql(escaped, **used)
+        return stage(df, name) if name in STAGED else df
 
 
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitgrid.functions.columns import safe_divide
-from pitgrid.functions.groups import with_average_rank
+from pitgrid.functions.groups import with_average_ranks
 from pitgrid.operators import asof, factors
 from pitgrid.operators.factors import FACTOR_FAMILIES, FEATURES
 from pitgrid.plans.bridge import FUNDAMENTAL_METRICS
@@ -61,7 +61,7 @@ step("fund_scaled", "SELECT signal_date, company_id, net_income, market_cap / 10
        "SELECT signal_date, company_id, earnings_yield FROM (" + inverse_sql("fund_scaled", "net_income", "market_cap", "price_to_earnings", "earnings_yield") + ") q")
 def f02(t):
     df = wide(t).withColumn("market_cap", F.col("market_cap") / 1000)
-    return factors.calibrated_inverse_multiple(df, ["signal_date"], "net_income", "market_cap", "price_to_earnings", "earnings_yield")
+    return factors.calibrated_inverse_multiples(df, ["signal_date"], {"earnings_yield": ("net_income", "market_cap", "price_to_earnings")})
 
 
 step("inv_ey", inverse_sql("fund_wide", "net_income", "market_cap", "price_to_earnings", "ey"))
@@ -113,7 +113,7 @@ def f05(t):
 
 
 Z_SQL = """
-  SELECT {keep}, CASE WHEN n >= 3 THEN CASE WHEN sd = 0 THEN 0.0 ELSE (least(greatest({v}, lo), hi) - mean) / sd END END AS {out}
+  SELECT {keep}, CASE WHEN s.n >= 3 THEN CASE WHEN sd = 0 THEN 0.0 ELSE (least(greatest({v}, lo), hi) - mean) / sd END END AS {out}
   FROM {src} r LEFT JOIN (
     SELECT {k}, count({v}) AS n, max(lo) AS lo, max(hi) AS hi, avg(least(greatest({v}, lo), hi)) AS mean, stddev_pop(least(greatest({v}, lo), hi)) AS sd
     FROM (SELECT r.*, quantile_cont({v}, 0.025) OVER (PARTITION BY {k}) AS lo, quantile_cont({v}, 0.975) OVER (PARTITION BY {k}) AS hi FROM {src} r) c
@@ -313,8 +313,7 @@ def f18(t):
 
 @query("F19_percent_rank_avg", "signal_date:d company_id:s factor_rank:f ml_rank:f", "SELECT * FROM panel_rank")
 def f19(t):
-    df = with_average_rank(t.factor_panel, ["signal_date"], "factor_score", "factor_rank")
-    return with_average_rank(df, ["signal_date"], "ml_score", "ml_rank")
+    return with_average_ranks(t.factor_panel, ["signal_date"], ["company_id"], {"factor_score": "factor_rank", "ml_score": "ml_rank"})
 
 
 @query("F20_top_n_factor", "signal_date:d rank:i company_id:s ticker:s sector:s factor_score:f", """

@@ -1,5 +1,6 @@
 """Run queries against their SQL checks: python tools/check.py [sf] [name-prefix ...]."""
 
+import signal
 import sys
 import time
 from pathlib import Path
@@ -14,6 +15,16 @@ from pitgrid.plans.bridge import BASE_TABLES  # noqa: E402
 from pitgrid.plans.registry import oracle_text, runnable  # noqa: E402
 
 
+LIMIT = 60
+
+
+def stop(*_):
+    raise TimeoutError(f"over {LIMIT} s")
+
+
+signal.signal(signal.SIGALRM, stop)
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -31,6 +42,7 @@ def compare(spark, con, q, sf_dir):
     df = runnable(q)(spark, sf_dir)
     got = sorted((tuple(r) for r in df.collect()), key=key)
     t1 = time.time()
+    print(f"  [{q.name} spark {t1 - t0:.1f}s]", file=sys.stderr, flush=True)
     text = oracle_text(q)
     if text is None:
         return f"rows-only {len(got)}", t1 - t0, 0.0, bool(got)
@@ -53,10 +65,12 @@ def main():
     for q in all_queries().values():
         if prefixes and not q.name.startswith(prefixes):
             continue
+        signal.alarm(LIMIT)
         try:
             msg, a, b, ok = compare(spark, con, q, sf_dir)
         except Exception as e:  # noqa: BLE001
             msg, a, b, ok = f"ERROR {type(e).__name__} {str(e)[:900]}", 0, 0, False
+        signal.alarm(0)
         print(f"{q.name:34s} {a:6.2f}s {b:6.2f}s {msg}", flush=True)
         if not ok:
             bad.append(q.name)
