@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "selection", "factor",
+    "selection", "factor", "series", "performance",
 )
 
 
