@@ -123,14 +123,14 @@ def running_sum(
     bucket = value_bucket(-F.col(order_value) if descending else F.col(order_value))
     rows = df.withColumn("_b", bucket)
     totals = rows.groupBy(*keys, "_b").agg(F.sum(amount).alias("_t"))
-    offsets = _offsets(totals, keys, "_b", "_t", "_before", "_all")
+    offsets = _offsets(totals, keys, "_b", "_t", "_rs_before", "_rs_all")
     first = F.col(order_value).desc() if descending else F.col(order_value).asc()
     w = W.partitionBy(*keys, "_b").orderBy(first, *ties).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum(amount).over(w), F.lit(0.0)))
+    rows = rows.withColumn("_rs_inside", F.coalesce(F.sum(amount).over(w), F.lit(0.0)))
     return (
         join_keys(rows, offsets, [*keys, "_b"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_b", "_before", "_inside", "_all")
+        .withColumn(out, F.col("_rs_before") + F.col("_rs_inside"))
+        .drop("_b", "_rs_before", "_rs_inside", "_rs_all")
     )
 
 

@@ -79,13 +79,19 @@ def equal_weight_returns(panel: DataFrame, bps: float) -> DataFrame:
     return gross.join(t, "signal_date").withColumn("net", apply_cost(F.col("gross"), F.col("turnover"), bps))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation, NULL without variation (the built-in one divides by zero then)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
 def rank_ic(panel: DataFrame, factors: Sequence[str], label: str = "next_month_excess_return", date: str = "signal_date") -> DataFrame:
     """Spearman correlation of each factor with the label per date; needs 5 rows and variation on both sides."""
     long = panel.select(date, "company_id", label, *factors).unpivot([date, "company_id", label], list(factors), "factor", "value")
     long = long.where(F.col("value").isNotNull() & F.col(label).isNotNull())
     ranked = with_average_ranks(long, [date, "factor"], ["company_id"], {"value": "_rv", label: "_rl"}, pct=False)
     stats = ranked.groupBy(date, "factor").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_rv", "_rl").alias("rho"),
+        F.count(F.lit(1)).alias("n"), pearson("_rv", "_rl").alias("rho"),
         ((F.min("value") < F.max("value")) & (F.min(label) < F.max(label))).alias("_varied"),
     )
     return stats.select(date, "factor", "n", F.when((F.col("n") >= 5) & F.col("_varied"), F.col("rho")).alias("rank_ic"))
@@ -110,7 +116,7 @@ def factor_correlation(panel: DataFrame, factors: Sequence[str], date: str = "si
     long = panel.select(date, "company_id", F.explode(pairs).alias("p")).select(date, "company_id", "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     ranked = with_average_ranks(long, [date, "a", "b"], ["company_id"], {"x": "_rx", "y": "_ry"}, pct=False)
     varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    per_date = ranked.groupBy(date, "a", "b").agg(F.when(varied, F.corr("_rx", "_ry")).alias("rho"))
+    per_date = ranked.groupBy(date, "a", "b").agg(F.when(varied, pearson("_rx", "_ry")).alias("rho"))
     dates = panel.agg(F.count_distinct(date)).scalar()
     return per_date.groupBy("a", "b").agg(F.when(F.count("rho") == dates, F.avg("rho")).alias("rho"))
 

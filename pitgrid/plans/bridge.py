@@ -41,6 +41,9 @@ class Dialect:
     def days(self, later: str, earlier: str) -> str:
         return f"datediff({later}, {earlier})" if self.spark else f"date_diff('day', {earlier}, {later})"
 
+    def sha(self, text: str) -> str:
+        return f"sha2({text}, 256)" if self.spark else f"sha256({text})"
+
     def stamp(self, day: str, clock: str) -> str:
         return f"CAST(concat(CAST({day} AS STRING), ' {clock}') AS {self.ts})"
 
@@ -171,7 +174,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
       ) r WHERE rn = 1"""
 
     v["factor_panel"] = """
-      SELECT p.*, CASE WHEN n >= 4 THEN total / n END AS factor_score FROM (
+      SELECT p.*, CASE WHEN n >= 4 THEN round(total / n, 9) END AS factor_score FROM (
         SELECT a.*, CAST(k AS STRING) AS company_id, concat('T', CAST(k AS STRING)) AS ticker,
                CAST((37 * k) % 100 AS DOUBLE) / 100 AS ml_score,
                (CASE WHEN factor_value IS NULL THEN 0 ELSE 1 END) + (CASE WHEN factor_revisions IS NULL THEN 0 ELSE 1 END)
@@ -180,12 +183,12 @@ def view_sql(d: Dialect) -> dict[str, str]:
                + coalesce(factor_momentum, 0) + factor_low_risk AS total
         FROM (
           SELECT l_suppkey AS k, s.signal_date, c.r_name AS sector,
-                 CASE WHEN l_suppkey % 9 <> 1 THEN avg(l_discount) * 20 - 1 END AS factor_value,
-                 avg(l_tax) * 25 - 1 AS factor_quality,
-                 CASE WHEN l_suppkey % 11 <> 2 THEN (avg(l_quantity) - 25) / 10 END AS factor_growth,
-                 CASE WHEN l_suppkey % 9 <> 1 THEN avg(l_extendedprice) / 38000 - 1 END AS factor_revisions,
+                 CASE WHEN l_suppkey % 9 <> 1 THEN round(avg(l_discount) * 20 - 1, 9) END AS factor_value,
+                 round(avg(l_tax) * 25 - 1, 9) AS factor_quality,
+                 CASE WHEN l_suppkey % 11 <> 2 THEN round((avg(l_quantity) - 25) / 10, 9) END AS factor_growth,
+                 CASE WHEN l_suppkey % 9 <> 1 THEN round(avg(l_extendedprice) / 38000 - 1, 9) END AS factor_revisions,
                  CASE WHEN l_suppkey % 9 <> 1 THEN (max(l_quantity) - 40) / 10 END AS factor_momentum,
-                 (3 - count(*)) / 3.0E0 AS factor_low_risk
+                 round((3 - count(*)) / 3.0E0, 9) AS factor_low_risk
           FROM lineitem JOIN company c ON c.k = l_suppkey
           JOIN signals s ON date_trunc('month', s.signal_date) = date_trunc('month', l_shipdate)
           GROUP BY l_suppkey, s.signal_date, c.r_name
@@ -207,9 +210,17 @@ def view_sql(d: Dialect) -> dict[str, str]:
       JOIN prices_best e ON e.price_date = a.entry_date
       JOIN prices_best x ON x.price_date = b.entry_date AND x.company_id = e.company_id"""
 
+    # bars are sparse, so the panel's label runs from the last close of a month to that of the next
+    v["month_close"] = """
+      SELECT company_id, s.signal_date, max_by(adjusted_close, price_date) AS px
+      FROM prices_best p JOIN signals s ON date_trunc('month', s.signal_date) = date_trunc('month', p.price_date) GROUP BY company_id, s.signal_date"""
+    v["month_move"] = """
+      SELECT * FROM (SELECT company_id, signal_date, lead(signal_date) OVER w AS return_date, lead(px) OVER w / px - 1 AS next_return
+      FROM month_close WINDOW w AS (PARTITION BY company_id ORDER BY signal_date)) q WHERE next_return IS NOT NULL"""
     v["labelled"] = """
-      SELECT f.*, w.return_date, w.next_return, w.benchmark_return, w.next_month_excess_return
-      FROM factor_panel f JOIN forward w ON w.signal_date = f.signal_date AND w.company_id = f.company_id"""
+      SELECT f.*, a.return_date, a.next_return, b.next_return AS benchmark_return, a.next_return - b.next_return AS next_month_excess_return
+      FROM factor_panel f JOIN month_move a ON a.signal_date = f.signal_date AND a.company_id = f.company_id
+      JOIN month_move b ON b.signal_date = f.signal_date AND b.company_id = 'BENCHMARK:SPY'"""
 
     v["membership_events"] = """
       SELECT ticker, day, action FROM (
@@ -250,7 +261,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
       FROM last_close WHERE company_id <> 'BENCHMARK:SPY' AND CAST(company_id AS BIGINT) % 3 = 0"""
 
     v["source_files"] = f"""
-      SELECT source_file_id, dataset, original_name, sha256(source_file_id) AS sha256, row_count, imported_at, metadata_json FROM (
+      SELECT source_file_id, dataset, original_name, {d.sha('source_file_id')} AS sha256, row_count, imported_at, metadata_json FROM (
         SELECT source_file_id, 'fundamentals' AS dataset, concat(source_file_id, '.csv') AS original_name, count(*) AS row_count,
                max(ingested_at) AS imported_at, '{{"provider":"vendor","capital_iq_data":true}}' AS metadata_json FROM fundamentals GROUP BY source_file_id
         UNION ALL

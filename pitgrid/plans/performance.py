@@ -259,7 +259,7 @@ def agent_decisions(t):
 
 
 @query("B20_agent_overlay_score", "signal_date:d company_id:s agent_adjusted_score:f", """
-  SELECT p.signal_date, p.company_id, p.ml_score + coalesce(greatest(-0.1, least(0.1, d.adj)), 0) AS agent_adjusted_score
+  SELECT p.signal_date, p.company_id, p.ml_score + CASE WHEN d.adj IS NULL THEN 0 ELSE greatest(-0.1, least(0.1, d.adj)) END AS agent_adjusted_score
   FROM factor_panel p LEFT JOIN agent_decisions d ON d.signal_date = p.signal_date AND d.company_id = p.company_id AND d.variant = 'with_debate'""")
 def b20(t):
     return performance.agent_overlay_score(t.factor_panel.withColumn("ensemble_score", F.col("ml_score")), agent_decisions(t), "with_debate")
