@@ -130,7 +130,7 @@ def certify(source_files, membership, fundamentals, estimates, prices, issues, s
     spark, floor = source_files.sparkSession, company_floor(source_files)
     status = source_files.select("dataset").distinct()
     required = spark.range(1).select(F.explode(F.array(*[F.lit(d) for d in REQUIRED_DATASETS])).alias("dataset"))
-    note = lambda df, order, text, blocks: df.select(F.lit(order).alias("order"), text.alias("note"), F.lit(blocks).alias("blocks"))
+    note = lambda df, order, text, blocks: df.select(F.lit(order).alias("seq"), text.alias("note"), F.lit(blocks).alias("blocks"))
     missing = required.join(status, "dataset", "left_anti")
     fresh = freshness_span(fundamentals, start, end).where("verdict <> 'ok'")
     weak_q = snapshot_coverage(fundamentals, membership, start, end, "quarter", floor).where("weak").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
@@ -143,7 +143,7 @@ def certify(source_files, membership, fundamentals, estimates, prices, issues, s
         note(weak_q, 3, F.concat(F.lit("weak fundamental quarters: "), F.col("n").cast("string")), True),
         note(weak_m, 4, F.concat(F.lit("weak estimate months: "), F.col("n").cast("string")), True),
         note(errors, 5, F.concat_ws(" ", "dataset", "code", F.col("count").cast("string")), True),
-        span.select(F.lit(6).alias("order"), F.concat(F.lit("membership: "), "verdict").alias("note"), F.col("verdict").isin("missing", "begins after").alias("blocks")),
+        span.select(F.lit(6).alias("seq"), F.concat(F.lit("membership: "), "verdict").alias("note"), F.col("verdict").isin("missing", "begins after").alias("blocks")),
         note(substitute_sources(source_files), 7, F.concat(F.lit("membership substitute: "), "provider"), False),
         note(px.where("verdict <> 'ok'"), 8, F.concat(F.lit("prices: "), "verdict"), True),
         note(px.where("substitutes <> ''"), 9, F.concat(F.lit("price substitutes: "), "substitutes"), False),
@@ -152,7 +152,7 @@ def certify(source_files, membership, fundamentals, estimates, prices, issues, s
     for n in notes[1:]:
         out = out.unionByName(n)
     blocked = out.groupBy().agg(F.coalesce(F.bool_or("blocks"), F.lit(False)).alias("b"))
-    passed = blocked.where("NOT b").select(F.lit(10).alias("order"), F.lit("all checks passed").alias("note"), F.lit(False).alias("blocks"))
+    passed = blocked.where("NOT b").select(F.lit(10).alias("seq"), F.lit("all checks passed").alias("note"), F.lit(False).alias("blocks"))
     return out.unionByName(passed)
 
 

@@ -103,8 +103,8 @@ def q08(t):
     return quality.substitute_sources(t.source_files)
 
 
-@query("Q09_certify", "order:i note:s blocks:b", f"""
-  SELECT 3 AS "order", concat('weak fundamental quarters: ', count(*)) AS note, true AS blocks FROM ({cover_sql('fundamentals', 'quarter', 400)}) a WHERE weak HAVING count(*) > 0
+@query("Q09_certify", "seq:i note:s blocks:b", f"""
+  SELECT 3 AS seq, concat('weak fundamental quarters: ', count(*)) AS note, true AS blocks FROM ({cover_sql('fundamentals', 'quarter', 400)}) a WHERE weak HAVING count(*) > 0
   UNION ALL SELECT 4, concat('weak estimate months: ', count(*)), true FROM ({cover_sql('estimates', 'month', 400, EPS)}) b WHERE weak HAVING count(*) > 0
   UNION ALL SELECT 5, concat(dataset, ' ', code, ' ', count), true FROM errors_q
   UNION ALL SELECT 7, 'membership substitute: public_table', false

@@ -198,7 +198,7 @@ def r12(t):
 
 
 @query("R13_watchlist", "ticker:s note:s created_at:t", """
-  SELECT a.ticker, max_by(nullif(note, ''), request_id) AS note, min(a.made) AS created_at FROM wl a
+  SELECT a.ticker, nullif(max_by(note, request_id), '') AS note, min(a.made) AS created_at FROM wl a
   JOIN (SELECT ticker, max_by(action, request_id) AS last_action, coalesce(max(CASE WHEN action = 'delete' THEN request_id END), -1) AS gone FROM wl GROUP BY ticker) g
   ON g.ticker = a.ticker AND g.last_action = 'add' AND a.request_id > g.gone GROUP BY a.ticker""")
 def r13(t):
