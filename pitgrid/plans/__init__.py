@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "selection", "factor", "series", "performance", "screening", "certification", "content",
+    "selection", "ingestion", "factor", "series", "performance", "screening", "certification", "content", "files",
 )
 
 
