@@ -140,7 +140,10 @@ def s11(t):
     def write(path):
         esc = F.replace(F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("+")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit(" "))
         at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-        t.pages.select(F.concat(F.lit("<entry><title>Page "), "page_id", F.lit("</title><published>"), at, F.lit('</published><content type="html">'), esc, F.lit("</content></entry>"))).write.text(path)
+        entry = F.concat(F.lit("<entry><title>Page "), "page_id", F.lit("</title><published>"), at, F.lit('</published><content type="html">'), esc, F.lit("</content></entry>"))
+        # a feed document holds 25 entries
+        feed = t.pages.groupBy(F.floor(F.col("page_id") / 25)).agg(F.concat_ws("\n", F.collect_list(entry)).alias("e"))
+        feed.select(F.concat(F.lit("<feed>\n"), "e", F.lit("\n</feed>"))).write.option("maxRecordsPerFile", 1).text(path)
 
     out = readers.scan_atom_feed(t.spark, once(t, "atom", write))
     return out.select("title", "created_at", F.char_length("selftext").alias("n_chars"), F.sha2("selftext", 256).alias("body_hash"))

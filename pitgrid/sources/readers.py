@@ -79,7 +79,7 @@ def flatten_chart_json(pages: DataFrame, symbols: DataFrame, as_of: Column, sour
     return bars_to_prices(rows, source, as_of)
 
 
-ATOM_SCHEMA = "title string, published string, content string"
+ATOM_SCHEMA = "title string, published string, content struct<_VALUE:string,_type:string>"
 
 
 def scan_atom_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +87,7 @@ def scan_atom_feed(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_SCHEMA).load(path)
     at = F.try_to_timestamp("published")
     return raw.select(
-        F.coalesce("title", F.lit("")).alias("title"), F.unix_timestamp(at).alias("created_utc"), at.cast("timestamp_ntz").alias("created_at"), strip_html(F.col("content")).alias("selftext"))
+        F.coalesce("title", F.lit("")).alias("title"), F.unix_timestamp(at).alias("created_utc"), at.cast("timestamp_ntz").alias("created_at"), strip_html(F.col("content._VALUE")).alias("selftext"))
 
 
 def scan_decision_log(spark: SparkSession, path: str) -> DataFrame:
