@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "selection", "ingestion", "factor", "series", "learning", "performance", "screening", "certification", "content", "files",
+    "selection", "ingestion", "factor", "series", "learning", "performance", "screening", "certification", "content", "files", "incremental",
 )
 
 
