@@ -99,8 +99,8 @@ def wide_to_long(df: DataFrame) -> DataFrame:
     values = [c for c in df.columns if c not in LONG_IDENTITY and header_key(c) not in INDUSTRY_COLUMNS]
     if not values:
         return df
-    typed = df.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in values])
-    return typed.unpivot(ids, values, "metric", "value")
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("string").alias("value")) for c in values])
+    return df.select(*ids, F.inline(cells))
 
 
 @dataclass(frozen=True)

@@ -174,8 +174,8 @@ def b12b(t):
 @query("B13_portfolio_risk", "strategy:s signal_date:d sessions:i variance:f expected_volatility:f", """
   SELECT strategy, signal_date, sessions, variance, sqrt(variance) AS expected_volatility FROM (
     SELECT b.strategy, b.signal_date, max(m.n) AS sessions,
-           CASE WHEN max(m.n) >= 20 THEN max(v.var) * 252 ELSE 0.04 * 20 * 0.0025 END + 1e-6 * 20 * 0.0025 AS variance
-    FROM (SELECT DISTINCT strategy, signal_date FROM books) b
+           CASE WHEN max(m.n) >= 20 THEN max(v.var) * 252 ELSE 0.04 * max(b.ww) END + 1e-6 * max(b.ww) AS variance
+    FROM (SELECT strategy, signal_date, sum(weight * weight) AS ww FROM books GROUP BY 1, 2) b
     JOIN (SELECT s.signal_date, least(252, count(DISTINCT c.price_date)) AS n FROM signals s JOIN calendar c ON c.price_date <= s.signal_date GROUP BY 1) m ON m.signal_date = b.signal_date
     JOIN (SELECT strategy, signal_date, var_samp(x) AS var FROM (
         SELECT d.strategy, d.signal_date, d.price_date, coalesce(sum(0.05 * r.ret), 0) AS x FROM (
