@@ -78,9 +78,13 @@ def with_average_ranks(
     ``pct`` the rank is divided by the group's non-NULL count.
     """
     keys, row = list(keys), list(row)
+    rank = F.col("n_below") + (F.col("n_eq") + 1) / 2.0
+    if len(ranks) == 1:  # no long table needed
+        (c, out), = ranks.items()
+        pos = value_positions(df, keys, c).select(*keys, F.col(c).alias("_v"), (rank / F.col("n_all") if pct else rank).alias(out))
+        return join_keys(df.withColumn("_v", F.col(c).cast("double")), pos, [*keys, "_v"], "left").drop("_v")
     long = df.select(*keys, *row, *[F.col(c).cast("double").alias(c) for c in ranks]).unpivot([*keys, *row], list(ranks), "_f", "_v")
     long = long.where(F.col("_v").isNotNull())
-    rank = F.col("n_below") + (F.col("n_eq") + 1) / 2.0
     pos = value_positions(long, [*keys, "_f"], "_v").select(
         *keys, "_f", "_v", (rank / F.col("n_all") if pct else rank).alias("_r")
     )
@@ -91,21 +95,35 @@ def with_average_ranks(
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: keys, ``n_all``, one column per name in ``probs``."""
+    """Exact linear-interpolated quantiles per group: keys, ``n_all``, one column per name in ``probs``.
+
+    All rows only go through a map-side count per bucket. The few buckets that hold a wanted
+    position are then read again and ordered.
+    """
     keys = list(keys)
-    pos = value_positions(df, keys, value)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value), value_bucket(value).alias("_b"))
+    totals = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_t"))
+    w = W.partitionBy(*keys).orderBy("_b")
+    spans = totals.select(
+        *keys, "_b", "_t", F.coalesce(F.sum("_t").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_t").over(W.partitionBy(*keys)).alias("n_all"),
+    )
+    at = {name: F.lit(float(p)) * (F.col("n_all") - 1) for name, p in probs.items()}
+    wanted = F.lit(False)
+    for e in at.values():
+        for idx in (F.floor(e), F.ceil(e)):
+            wanted = wanted | ((F.col("_before") <= idx) & (idx < F.col("_before") + F.col("_t")))
+    counts = join_keys(rows, spans.where(wanted).drop("_t"), [*keys, "_b"]).groupBy(*keys, "_b", value).agg(
+        F.count(F.lit(1)).alias("n_eq"), F.max("_before").alias("_before"), F.max("n_all").alias("n_all"))
+    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("n_below", F.col("_before") + F.coalesce(F.sum("n_eq").over(inside), F.lit(0)))
     aggs = [F.max("n_all").alias("n_all")]
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("n_all") - 1)
-        for tag, idx in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+    for name, e in at.items():
+        for tag, idx in (("lo", F.floor(e)), ("hi", F.ceil(e))):
             hit = (F.col("n_below") <= idx) & (idx < F.col("n_below") + F.col("n_eq"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{tag}"))
-    out = pos.groupBy(*keys).agg(*aggs)
-    cols = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("n_all") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    out = counts.groupBy(*keys).agg(*aggs)
+    cols = [(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * (e - F.floor(e))).alias(n) for n, e in at.items()]
     return out.select(*keys, "n_all", *cols)
 
 

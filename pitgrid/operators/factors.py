@@ -181,6 +181,7 @@ def sector_neutral_zscores(df: DataFrame, features: Sequence[str], date: str = "
     long = rows.select(date, "company_id", "_g", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [date, "company_id", "_g"], list(features), "feature", "v"
     )
+    long = stage(long, "long")  # read by the pool, its two passes and the final z
     small_dates = sizes.where(F.col("_g") == ALL_SECTORS).select(date).distinct()
     pool = long.where(F.col("_g") != ALL_SECTORS).unionByName(
         long.join(small_dates, date, "left_semi").withColumn("_g", F.lit(ALL_SECTORS))
