@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitgrid.functions.groups import join_keys, top_k
+from pitgrid.operators.asof import asof_join
 from pitgrid.operators.series import daily_returns
 
 # Portfolio limits.
@@ -81,7 +82,8 @@ def portfolio_risk(books: DataFrame, prices: DataFrame, sessions: int = 252) ->
     w = W.partitionBy("_k").orderBy("price_date")  # one row per trading day
     days = prices.select("price_date").distinct().withColumn("_k", F.lit(1)).withColumn("_no", F.row_number().over(w))
     r = daily_returns(prices).join(days.drop("_k"), "price_date")
-    marks = books.select("signal_date").distinct().join(days.drop("_k"), F.col("price_date") <= F.col("signal_date")).groupBy("signal_date").agg(F.max("_no").alias("_last"))
+    marks = asof_join(books.select("signal_date").distinct().withColumn("_k", F.lit(1)), days, ["_k"], "signal_date", "price_date", ["_no"])
+    marks = marks.select("signal_date", F.col("_no").alias("_last"))
     b = books.join(marks, "signal_date")
     hit = b.join(r, "company_id").where((F.col("_no") <= F.col("_last")) & (F.col("_no") > F.col("_last") - sessions))
     daily = hit.groupBy("strategy", "signal_date", "_no").agg(F.sum(F.col("weight") * F.col("ret")).alias("x"))

@@ -207,13 +207,15 @@ def holding_outcome(decisions: DataFrame, bars: DataFrame, symbol: str = "ticker
     cols = ["price_date", "close", "close_h", "date_h"]
 
     def look(df: DataFrame, by: str, prefix: str) -> DataFrame:
-        probe = df.withColumn("_sym", F.col(by)).withColumn("_neg", -F.datediff("trade_date", F.lit("1970-01-01")))
+        # one lookup per symbol and day: however many decisions share a benchmark, its line stays calendar-sized
+        probe = df.select(F.col(by).alias("_sym"), "trade_date").distinct().withColumn("_neg", -F.datediff("trade_date", F.lit("1970-01-01")))
         hit = asof_join(probe, ahead, ["_sym"], "_neg", "_neg", cols)
         if max_days is not None:  # the last bar must fall inside the download window
             late = F.col("date_h") >= F.date_add("trade_date", max_days)
             hit = hit.withColumn("close_h", F.when(~late, F.col("close_h")))
         ret = F.when(F.col("close_h").isNotNull(), F.col("close_h") / F.col("close") - 1)
-        return hit.withColumn(f"{prefix}_return", ret).withColumn(f"{prefix}_date", F.when(ret.isNotNull(), F.col("date_h"))).drop("_sym", "_neg", *cols)
+        hit = hit.select(F.col("_sym").alias(by), "trade_date", ret.alias(f"{prefix}_return"), F.when(ret.isNotNull(), F.col("date_h")).alias(f"{prefix}_date"))
+        return df.join(hit, [by, "trade_date"], "left")
 
     both = look(look(decisions, symbol, "raw"), "benchmark", "bench")
     ok = F.col("raw_return").isNotNull() & F.col("bench_return").isNotNull()

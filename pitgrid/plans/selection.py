@@ -250,14 +250,11 @@ step("resolved_decisions", """
 
 def resolved_decisions(t):
     """Each decision is known to have worked out at the first month end more than 40 days later."""
-    s = t.signals.withColumn("_known", F.date_sub("signal_date", 41))
-    d = t.decisions.withColumn("_probe", F.col("trade_date")).withColumn("_k", F.lit(1))
-    # next signal after trade_date + 40 = as-of join in reversed time
-    back = asof.asof_join(
-        d.withColumn("_neg", -F.datediff("_probe", F.lit("1970-01-01"))), s.withColumn("_k", F.lit(1)).withColumn("_neg", -F.datediff("_known", F.lit("1970-01-01"))),
-        ["_k"], "_neg", "_neg", ["signal_date"],
-    )
-    return back.select("ticker", "trade_date", "rating", F.col("signal_date").alias("resolved"))
+    neg = lambda c: -F.datediff(c, F.lit("1970-01-01"))  # noqa: E731  next date = as-of join in reversed time
+    s = t.signals.select("signal_date", F.lit(1).alias("_k"), neg(F.date_sub("signal_date", 41)).alias("_neg"))
+    days = t.decisions.select("trade_date", F.lit(1).alias("_k"), neg("trade_date").alias("_neg")).distinct()
+    known = asof.asof_join(days, s, ["_k"], "_neg", "_neg", ["signal_date"]).select("trade_date", F.col("signal_date").alias("resolved"))
+    return t.decisions.join(known, "trade_date").select("ticker", "trade_date", "rating", "resolved")
 
 
 @query("P19_lessons_asof", "ask_ticker:s as_of:d kind:s rank:i ticker:s trade_date:d resolved:d rating:s", """
