@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pitgrid.functions.staging import stage
 from pitgrid.llm.common import shingle_hashes, words_of
 
 #: measure -> tolerance above the median: per mille of characters, words and lines; tenths of a character
@@ -104,8 +105,8 @@ def judged(rows: DataFrame, bounds: DataFrame, prefix: str = "_q_") -> DataFrame
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.
 
-    The texts are measured twice, once for the sketches and once for the verdicts: that costs no shuffle of texts.
+    Each text is measured once: rows and measures are written to the shared folder, read for the sketches (measures
+    only) and read again for the verdicts.
     """
-    rows = measured(docs)
-    bounds = thresholds(sketches(rows))
-    return judged(rows, bounds).where("_q_kept").select(*docs.columns)
+    rows = stage(measured(docs), "measured")
+    return judged(rows, thresholds(sketches(rows))).where("_q_kept").select(*docs.columns)
