@@ -110,12 +110,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = first.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Repeated rows of that doc_id count as copies: one of them stays. Columns are those of ``docs``.
-    """
-    found = near_duplicates(docs, id_col, text_col, **how).select(F.col("component_id").alias("_kept_id")).distinct()
-    kept = docs.join(found, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
