@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitgrid.functions.staging import stage_folder
-from pitgrid.llm import mixing, packing, rules, secrets, simhash
+from pitgrid.llm import mixing, packing, rules, secrets, similar
 from pitgrid.llm.common import table
 from pitgrid.llm.queries import tokenizer_path
 
@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (5-word shingles, 2 of 64 bits); the columns of ``docs``."""
-    return simhash.keep_one(docs, k=5)
+    """One document of each group of SimHash links and of texts that share 80 % of their 5-word shingles; the columns of ``docs``."""
+    return similar.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
