@@ -88,3 +88,13 @@ def register_sql_functions(spark) -> None:
         "RETURNS DOUBLE RETURN CASE WHEN v IS NULL THEN NULL WHEN sd = 0 THEN 0D "
         "ELSE (least(greatest(v, lo), hi) - mean) / sd END"
     )
+
+
+def digest_sums(text: Column) -> Column:
+    """Aggregate: the eight 32-bit words of each row's SHA-256 summed on their own, joined by "-".
+
+    Independent of row order, and every bit of every digest counts.
+    """
+    sha = F.sha2(text, 256)
+    words = [F.sum(F.conv(F.substring(sha, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
+    return F.concat_ws("-", *words)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pitgrid.functions.columns import clip, count_present, mean_present, safe_divide, visible_on
+from pitgrid.functions.columns import digest_sums, clip, count_present, mean_present, safe_divide, visible_on
 from pitgrid.functions.groups import join_keys, latest, quantiles, top_k, with_average_ranks
 from pitgrid.functions.staging import stage
 from pitgrid.operators.asof import (
@@ -334,9 +334,8 @@ def snapshot_hash(snapshot: DataFrame, facts: DataFrame) -> DataFrame:
     (order-free), then hashed together with the counts. ``facts`` has signal_date, source_file_id.
     """
     def digest(df: DataFrame, col: str, out: str) -> DataFrame:
-        h = F.conv(F.substring(F.sha2(F.col(col).cast("string"), 256), 1, 14), 16, 10).cast("decimal(20,0)")
         return df.select("signal_date", col).distinct().groupBy("signal_date").agg(
-            F.count(F.lit(1)).alias(f"n_{out}"), F.sum(h).cast("string").alias(out)
+            F.count(F.lit(1)).alias(f"n_{out}"), digest_sums(F.col(col).cast("string")).alias(out)
         )
 
     a = digest(snapshot, "company_id", "companies")
@@ -349,7 +348,7 @@ def snapshot_hash(snapshot: DataFrame, facts: DataFrame) -> DataFrame:
 
 def persist_observations(snapshot: DataFrame) -> DataFrame:
     """rows to store: scored companies with their raw features packed as JSON."""
-    packed = F.to_json(F.struct(*[F.round(f, 9).alias(f) for f in FEATURES]), {"ignoreNullFields": "false"})
+    packed = F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"})
     return snapshot.where(F.col("factor_score").isNotNull()).select(
         "company_id", "ticker", F.col("signal_date").alias("as_of_date"), "sector", packed.alias("feature_json"), "factor_score"
     )

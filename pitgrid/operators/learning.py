@@ -136,15 +136,23 @@ def predict_month(train: DataFrame, current: DataFrame, features: Sequence[str],
 def walk_forward(panel: DataFrame, months: Sequence, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, tree_grid=TREE_GRID) -> DataFrame:
     """M01 to M05 for a list of prediction months: parameters chosen once a year, weights refit each month.
 
-    The loop runs over months only; every fit is a distributed job on staged rows.
+    A month with too little history is not fitted: its scores are 0 and ``fitted`` is false (``rank_blend`` then
+    takes the factor rank alone). The loop runs over months only; every fit is a distributed job on staged rows.
     """
     chosen, out = {}, None
+    asked = panel.sparkSession.createDataFrame([(m,) for m in sorted(months)], "signal_date date")
+    every = panel.select("signal_date").distinct().unionByName(asked).distinct()
+    gate = {r["signal_date"]: r["fits"] for r in walk_forward_split(panel, every, target).collect()}  # one row per month
     for month in sorted(months):
         train = panel.where((F.col("signal_date") < F.lit(month)) & F.col(target).isNotNull())
         current = panel.where(F.col("signal_date") == F.lit(month))
+        if not gate[month]:
+            one = current.select("signal_date", "company_id", F.lit(0.0).alias("elastic_score"), F.lit(0.0).alias("tree_score"), F.lit(False).alias("fitted"))
+            out = one if out is None else out.unionByName(one)
+            continue
         if month.year not in chosen:
             chosen[month.year] = select_params(train, features, target, rounds, tree_grid)
-        one = stage(predict_month(train, current, features, chosen[month.year], target, rounds), "predicted")
+        one = stage(predict_month(train, current, features, chosen[month.year], target, rounds).withColumn("fitted", F.lit(True)), "predicted")
         out = one if out is None else out.unionByName(one)
     return out
 

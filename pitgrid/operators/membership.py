@@ -28,14 +28,16 @@ def share_class_table(spark) -> DataFrame:
 
 
 def company_of_ticker(tickers: DataFrame, company_map: DataFrame, classes: DataFrame) -> DataFrame:
-    """P14, key part: ticker to canonical ticker and company (of the canonical, else its own, else public id)."""
+    """P14, key part: ticker to canonical ticker and company (of the canonical, else its own, else of any ticker of the group, else public id)."""
     m = company_map.select(F.col("ticker").alias("_t"), F.col("company_id").alias("_c"))
     t = tickers.select("ticker").distinct().join(classes, "ticker", "left").withColumn("canonical", F.coalesce("canonical", "ticker"))
     t = t.join(m.select(F.col("_t").alias("canonical"), F.col("_c").alias("_canon_id")), "canonical", "left")
     t = t.join(m.select(F.col("_t").alias("ticker"), F.col("_c").alias("_own_id")), "ticker", "left")
+    group = classes.join(m.select(F.col("_t").alias("ticker"), "_c"), "ticker").groupBy("canonical").agg(F.min("_c").alias("_group_id"))
+    t = t.join(group, "canonical", "left")
     return t.select(
         "ticker", "canonical",
-        F.coalesce("_canon_id", "_own_id", F.concat(F.lit(PUBLIC_PREFIX), "canonical")).alias("company_id"),
+        F.coalesce("_canon_id", "_own_id", "_group_id", F.concat(F.lit(PUBLIC_PREFIX), "canonical")).alias("company_id"),
     )
 
 

@@ -151,7 +151,15 @@ def hold_when_uncovered(coverage: DataFrame, books: DataFrame, returns: DataFram
 def wealth_curve(returns: DataFrame) -> DataFrame:
     """Growth of 1 per strategy (months per strategy bound the window)."""
     w = W.partitionBy("strategy").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    return returns.where(F.col("ret").isNotNull()).withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(w)))
+    return returns.where(F.col("ret").isNotNull()).withColumn("wealth", growth(F.col("ret"), w))
+
+
+def growth(ret: Column, over=None) -> Column:
+    """Product of 1 + ret as an aggregate or over a window; a total loss makes it 0, a greater one changes its sign."""
+    put = (lambda e: e.over(over)) if over is not None else (lambda e: e)
+    size = put(F.sum(F.when(ret > -1, F.log1p(ret)).when(ret < -1, F.log(-1 - ret)).otherwise(0.0)))
+    sign = F.when(put(F.sum((ret < -1).cast("int"))) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(put(F.max((ret == -1).cast("int"))) == 1, 0.0).otherwise(sign * F.exp(size))
 
 
 def or_zero(n: Column, d: Column) -> Column:
@@ -168,7 +176,7 @@ def strategy_metrics(returns: DataFrame) -> DataFrame:
     rows = rows.withColumn("_dd", F.col("wealth") / F.max("wealth").over(w) - 1)
     root = F.sqrt(F.lit(float(MONTHS)))
     a = rows.groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("observations"), F.sum(F.log1p("ret")).alias("_lw"), F.avg("ret").alias("_m"),
+        F.count(F.lit(1)).alias("observations"), growth(F.col("ret")).alias("_w"), F.avg("ret").alias("_m"),
         (F.stddev_pop("ret") * root).alias("annualized_volatility"),
         (F.stddev_pop(F.least("ret", F.lit(0.0))) * root).alias("_down"),
         F.avg(F.col("ret") - F.col("bench")).alias("_xm"), (F.stddev_pop(F.col("ret") - F.col("bench")) * root).alias("_te"),
@@ -176,7 +184,7 @@ def strategy_metrics(returns: DataFrame) -> DataFrame:
         F.avg(F.coalesce("turnover", F.lit(0.0))).alias("average_one_way_turnover"), F.avg((F.col("ret") > 0).cast("double")).alias("monthly_hit_rate"),
     )
     return a.select(
-        "strategy", (F.exp(F.col("_lw") * MONTHS / F.col("observations")) - 1).alias("cagr"), "annualized_volatility",
+        "strategy", F.when(F.col("_w") > 0, F.pow("_w", MONTHS / F.col("observations")) - 1).otherwise(-1.0).alias("cagr"), "annualized_volatility",
         or_zero(F.col("_m") * MONTHS, F.col("annualized_volatility")).alias("sharpe_zero_rf"), or_zero(F.col("_m") * MONTHS, F.col("_down")).alias("sortino_zero_rf"),
         "max_drawdown", F.when(F.col("_bv") > 0, F.col("_cov") / F.col("_bv")).otherwise(0.0).alias("beta"),
         or_zero(F.col("_xm") * MONTHS, F.col("_te")).alias("information_ratio"), "average_one_way_turnover", "monthly_hit_rate", "observations",
@@ -224,7 +232,7 @@ def cost_sensitivity(returns: DataFrame, old_bps: float, new_bps: Sequence[float
 def strategy_comparison(returns: DataFrame, benchmark: str) -> DataFrame:
     """Metrics with ending wealth, CAGR against the benchmark and the leaders."""
     m = strategy_metrics(returns).join(
-        returns.where("ret IS NOT NULL").groupBy("strategy").agg(F.exp(F.sum(F.log1p("ret"))).alias("ending_wealth")), "strategy"
+        returns.where("ret IS NOT NULL").groupBy("strategy").agg(growth(F.col("ret")).alias("ending_wealth")), "strategy"
     )
     bench = m.where(F.col("strategy") == benchmark).agg(F.max("cagr")).scalar()
     rivals = m.where(F.col("strategy") != benchmark)

@@ -12,7 +12,6 @@ from pitgrid.operators.asof import asof_join
 
 PRICE_FIELDS = ("open", "high", "low", "close", "volume")
 BLOCK = 256
-CARRY_BLOCKS = 8
 
 # Exchange suffix to benchmark index.
 BENCHMARK_BY_SUFFIX = {
@@ -58,10 +57,16 @@ def ewm(df: DataFrame, symbol: str, date: str, values: dict[str, tuple[Column, f
     """Exponentially weighted means with adjusted weights: out name -> (input, alpha).
 
     Rows are numbered and cut into blocks of 256. Inside a block the weighted sum is a plain
-    running sum of x / q^pos rescaled by q^pos; what earlier blocks add is carried from their
-    block sums. Eight blocks back a weight is below 1e-30 for the alphas used, under the
-    precision of a double. Leading NULLs (no change on a first day) get no weight.
+    running sum of x / q^pos rescaled by q^pos; what all earlier blocks add is folded from their
+    block sums, one per 256 rows of the calendar. Leading NULLs (no change on a first day) get no weight.
+    With alpha = 1 only the row itself has weight.
     """
+    whole = {o: x for o, (x, a) in values.items() if a >= 1}
+    values = {o: v for o, v in values.items() if o not in whole}
+    if whole:
+        df = df.withColumns({o: x.cast("double") for o, x in whole.items()})
+    if not values:
+        return df
     w = W.partitionBy(symbol).orderBy(date)
     df = df.withColumn("_i", F.row_number().over(w) - 1)
     df = df.withColumn("_blk", F.floor(F.col("_i") / BLOCK)).withColumn("_pos", F.col("_i") % BLOCK)
@@ -78,10 +83,8 @@ def ewm(df: DataFrame, symbol: str, date: str, values: dict[str, tuple[Column, f
     carry = {}
     for o, (_, a) in values.items():
         for tag in ("n", "d"):
-            c = F.lit(0.0)
-            for k in range(1, CARRY_BLOCKS + 1):
-                c = c + F.coalesce(F.lag(f"_t{tag}_{o}", k).over(wb), F.lit(0.0)) * F.lit((1.0 - a) ** (BLOCK * (k - 1)))
-            carry[f"_c{tag}_{o}"] = c
+            before = F.collect_list(f"_t{tag}_{o}").over(wb.rowsBetween(W.unboundedPreceding, -1))
+            carry[f"_c{tag}_{o}"] = F.aggregate(before, F.lit(0.0), _decayed((1.0 - a) ** BLOCK))
     blocks = blocks.select(symbol, "_blk", *[e.alias(n) for n, e in carry.items()])
     df = df.withColumns(local).join(blocks, [symbol, "_blk"], "left")
     out = {}
@@ -94,6 +97,10 @@ def ewm(df: DataFrame, symbol: str, date: str, values: dict[str, tuple[Column, f
     return df.select(*keep, *[e.alias(o) for o, e in out.items()])
 
 
+def _decayed(rate: float):
+    return lambda total, x: total * F.lit(rate) + x
+
+
 def ema(df: DataFrame, symbol: str, date: str, value: str, n: int, out: str) -> DataFrame:
     """alpha = 2 / (n + 1)."""
     return ewm(df, symbol, date, {out: (F.col(value), 2.0 / (n + 1))})
@@ -193,9 +200,10 @@ def verified_snapshot(df: DataFrame, symbol: str, date: str, on: Column, look_ba
     return recent.select(symbol, "m.*", "recent_closes")
 
 
-def holding_outcome(decisions: DataFrame, bars: DataFrame, symbol: str = "ticker", holding: int = 5, max_days: int | None = None) -> DataFrame:
+def holding_outcome(decisions: DataFrame, bars: DataFrame, symbol: str = "ticker", holding: int = 5, max_days: int | None = 12) -> DataFrame:
     """Return from the first bar at or after the trade date to the bar ``holding`` rows later.
 
+    Both bars must lie before ``max_days`` after the trade date, else the outcome stays pending; None sets no such window.
     ``decisions`` has symbol, trade_date and benchmark. Each bar carries the close
     ``holding`` rows ahead, so a decision needs one as-of lookup per series.
     """

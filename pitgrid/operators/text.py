@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pitgrid.functions.columns import digest_sums
 from pitgrid.functions.groups import latest, quantiles, top_k
 
 # Rating scale.
@@ -239,8 +240,8 @@ def evidence_availability(packets: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     e = evidence.join(packets.select("packet_id", "as_of_date"), "packet_id")
     late = F.to_date("effective_at") > F.col("as_of_date")
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct("evidence_id", F.col("effective_at").cast("string").alias("at"))), 256), 1, 14), 16, 10).cast("decimal(20,0)")
-    a = e.groupBy("packet_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(late).alias("future_items"), F.sum(h).cast("string").alias("_h"))
+    line = F.to_json(F.struct("evidence_id", F.col("effective_at").cast("string").alias("at")))
+    a = e.groupBy("packet_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(late).alias("future_items"), digest_sums(line).alias("_h"))
     return a.select("packet_id", "items", "future_items", (F.col("future_items") == 0).alias("accepted"), F.sha2(F.concat_ws("|", "packet_id", "items", "_h"), 256).alias("packet_hash"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitgrid.operators import text
+from pitgrid.plans.factor import DIGEST
 from pitgrid.plans.registry import query, step
 
 NULLS = "CAST(NULL AS STRING)"
 
 
 def articles(t):
-    d = t.documents.withColumn("title", F.substring("text", 1, 60)).withColumn("ts", F.lit(1704067200) + F.col("doc_id") * 3600)
+    d = t.documents.withColumn("title", F.substring_index("text", "\n", 1)).withColumn("ts", F.lit(1704067200) + F.col("doc_id") * 3600)
     nested = F.to_json(F.struct(F.struct(
         "title", F.col("lang").alias("summary"), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"),
         F.struct(F.col("source").alias("displayName")).alias("provider"), F.struct(F.concat(F.lit("http://a/"), "doc_id").alias("url")).alias("canonicalUrl")).alias("content")))
@@ -21,7 +22,7 @@ def articles(t):
 
 
 step("articles", """
-  SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN substr(text, 1, 60) ELSE 'No title' END AS title, lang AS summary, CASE WHEN doc_id % 2 = 1 THEN source ELSE 'Unknown' END AS publisher,
+  SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN split_part(text, chr(10), 1) ELSE 'No title' END AS title, lang AS summary, CASE WHEN doc_id % 2 = 1 THEN source ELSE 'Unknown' END AS publisher,
          CASE WHEN doc_id % 2 = 1 THEN concat('http://a/', doc_id) ELSE '' END AS link, CASE WHEN doc_id % 8 <> 0 THEN make_timestamp((1704067200 + doc_id * 3600) * 1000000) END AS published_at
   FROM documents""")
 
@@ -31,9 +32,9 @@ def x01(t):
     return text.extract_articles(articles(t), "payload")
 
 
-@query("X02_dedupe_titles", "title:s doc_id:i", "SELECT title, min(doc_id) AS doc_id FROM (SELECT doc_id, substr(text, 1, 60) AS title FROM documents) d WHERE title <> '' GROUP BY title")
+@query("X02_dedupe_titles", "title:s doc_id:i", "SELECT title, min(doc_id) AS doc_id FROM (SELECT doc_id, text AS title FROM documents) d WHERE title <> '' GROUP BY title")
 def x02(t):
-    return text.dedupe_titles(t.documents.select("doc_id", F.substring("text", 1, 60).alias("title"), "lang"), "title", ["doc_id"])
+    return text.dedupe_titles(t.documents.select("doc_id", F.col("text").alias("title"), "lang"), "title", ["doc_id"])
 
 
 BODY = "CASE WHEN page_id % 3 = 0 THEN concat('<p>x</p><!-- SC_OFF -->', html, '<!-- SC_ON --> tail') ELSE html END"
@@ -62,12 +63,12 @@ def x04(t):
 
 
 @query("X05_post_digest", "source:s place:i line:s excerpt:s", """
-  SELECT source, place, concat('[2024-01-', lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0'), CASE WHEN doc_id % 3 <> 0 THEN printf(' · %4d↑ · %3dc', n_chars, doc_id % 50) ELSE '' END, '] ', trim(replace(substr(text, 1, 60), chr(10), ' '), ' ')) AS line,
+  SELECT source, place, concat('[2024-01-', lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0'), CASE WHEN doc_id % 3 <> 0 THEN printf(' · %4d↑ · %3dc', n_chars, doc_id % 50) ELSE '' END, '] ', trim(split_part(text, chr(10), 1), ' ')) AS line,
          CASE WHEN length(b) > 240 THEN concat(substr(b, 1, 240), '…') ELSE b END AS excerpt
   FROM (SELECT *, trim(replace(text, chr(10), ' '), ' ') AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) d WHERE place <= 5""")
 def x05(t):
     posts = t.documents.select(
-        "source", "doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("selftext"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("score"),
+        "source", "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("selftext"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("score"),
         (F.col("doc_id") % 50).alias("num_comments"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).alias("created_at"))
     return text.post_digest(posts, "source", [F.col("doc_id").desc()], 5)
 
@@ -185,9 +186,10 @@ def x15(t):
     return t.documents.select("doc_id", text.uncited_number(F.col("text")).alias("has_number"))
 
 
-@query("X16_evidence_availability", "packet_id:s items:i future_items:i accepted:b", """
-  SELECT company_id AS packet_id, count(*) AS items, count(*) FILTER (WHERE CAST(effective_at AS DATE) > d) AS future_items, count(*) FILTER (WHERE CAST(effective_at AS DATE) > d) = 0 AS accepted
-  FROM (SELECT f.*, DATE '2001-06-30' + CAST(CAST(company_id AS BIGINT) % 4 * 60 AS INT) AS d FROM fundamentals f) q GROUP BY company_id""")
+@query("X16_evidence_availability", "packet_id:s items:i future_items:i accepted:b packet_hash:s", f"""
+  SELECT company_id AS packet_id, count(*) AS items, count(*) FILTER (WHERE CAST(effective_at AS DATE) > d) AS future_items, count(*) FILTER (WHERE CAST(effective_at AS DATE) > d) = 0 AS accepted,
+         sha256(concat(company_id, '|', count(*), '|', {DIGEST.format("line")})) AS packet_hash
+  FROM (SELECT f.*, concat('{{"evidence_id":"', source_file_id, ':', metric, '","at":"', strftime(effective_at, '%Y-%m-%d %H:%M:%S'), '"}}') AS line, DATE '2001-06-30' + CAST(CAST(company_id AS BIGINT) % 4 * 60 AS INT) AS d FROM fundamentals f) q GROUP BY company_id""")
 def x16(t):
     packets = t.fundamentals.select(F.col("company_id").alias("packet_id")).distinct().withColumn(
         "as_of_date", F.date_add(F.lit("2001-06-30").cast("date"), (F.col("packet_id").cast("bigint") % 4 * 60).cast("int")))

@@ -264,12 +264,16 @@ def f15(t):
     return snapshot(t)
 
 
-@query("F16_snapshot_hash", "signal_date:d n_companies:i n_sources:i source_snapshot_hash:s", """
-  SELECT a.signal_date, n_companies, n_sources, sha256(concat('{"as_of_date":"', CAST(a.signal_date AS VARCHAR), '","companies":"', companies,
-         '","n_companies":', n_companies, ',"n_sources":', n_sources, ',"sources":"', sources, '"}')) AS source_snapshot_hash
-  FROM (SELECT signal_date, count(*) AS n_companies, CAST(CAST(sum(CAST(concat('0x', sha256(company_id)[1:14]) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS companies
+# the eight 32-bit words of the digests, each summed
+DIGEST = " || '-' || ".join(f"CAST(CAST(sum(CAST(concat('0x', sha256({{0}})[{1 + 8 * i}:{8 + 8 * i}]) AS HUGEINT)) AS HUGEINT) AS VARCHAR)" for i in range(8))
+
+
+@query("F16_snapshot_hash", "signal_date:d n_companies:i n_sources:i source_snapshot_hash:s", f"""
+  SELECT a.signal_date, n_companies, n_sources, sha256(concat('{{"as_of_date":"', CAST(a.signal_date AS VARCHAR), '","companies":"', companies,
+         '","n_companies":', n_companies, ',"n_sources":', n_sources, ',"sources":"', sources, '"}}')) AS source_snapshot_hash
+  FROM (SELECT signal_date, count(*) AS n_companies, {DIGEST.format('company_id')} AS companies
         FROM (SELECT DISTINCT signal_date, company_id FROM universe) u GROUP BY signal_date) a
-  JOIN (SELECT signal_date, count(*) AS n_sources, CAST(CAST(sum(CAST(concat('0x', sha256(source_file_id)[1:14]) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS sources
+  JOIN (SELECT signal_date, count(*) AS n_sources, {DIGEST.format('source_file_id')} AS sources
         FROM (SELECT DISTINCT signal_date, source_file_id FROM visible_fund UNION SELECT signal_date, source_file_id FROM visible_est) u GROUP BY signal_date) b
   ON b.signal_date = a.signal_date""")
 def f16(t):
@@ -280,7 +284,7 @@ def f16(t):
 
 
 @query("F17_persist_observations", "as_of_date:d company_id:s ticker:s factor_score:f roic:f beta_252d:f n_features:i", f"""
-  SELECT signal_date AS as_of_date, company_id, ticker, factor_score, round(roic, 9) AS roic, round(beta_252d, 9) AS beta_252d, {len(FEATURES)} AS n_features
+  SELECT signal_date AS as_of_date, company_id, ticker, factor_score, roic, beta_252d, {len(FEATURES)} AS n_features
   FROM scored WHERE factor_score IS NOT NULL""")
 def f17(t):
     out = factors.persist_observations(snapshot(t))

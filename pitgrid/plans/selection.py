@@ -147,11 +147,12 @@ step("share_classes", """
   FROM events WHERE user_id % 10 < 3""")
 step("ident", """
   SELECT t.ticker, coalesce(s.canonical, t.ticker) AS canonical,
-         coalesce(c.company_id, o.company_id, concat('PUBLICSP500:', coalesce(s.canonical, t.ticker))) AS company_id
+         coalesce(c.company_id, o.company_id, g.company_id, concat('PUBLICSP500:', coalesce(s.canonical, t.ticker))) AS company_id
   FROM (SELECT DISTINCT ticker FROM membership_events UNION SELECT ticker FROM membership_seed) t
   LEFT JOIN share_classes s ON s.ticker = t.ticker
   LEFT JOIN (SELECT ticker, min(company_id) AS company_id FROM instruments GROUP BY ticker) c ON c.ticker = coalesce(s.canonical, t.ticker)
-  LEFT JOIN (SELECT ticker, min(company_id) AS company_id FROM instruments GROUP BY ticker) o ON o.ticker = t.ticker""")
+  LEFT JOIN (SELECT ticker, min(company_id) AS company_id FROM instruments GROUP BY ticker) o ON o.ticker = t.ticker
+  LEFT JOIN (SELECT x.canonical, min(i.company_id) AS company_id FROM share_classes x JOIN instruments i ON i.ticker = x.ticker GROUP BY x.canonical) g ON g.canonical = coalesce(s.canonical, t.ticker)""")
 step("event_days", f"""
   SELECT i.company_id, i.ticker, i.canonical, d.day,
          coalesce((SELECT max_by(e.action, e.day) FROM membership_events e WHERE e.ticker = i.ticker AND e.day <= d.day) = 'added',

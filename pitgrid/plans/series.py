@@ -164,7 +164,7 @@ step("outcomes", """
 
 def outcomes(t):
     d = t.decisions.select("ticker", "trade_date", "rating").withColumn("benchmark", series.benchmark_by_suffix(F.col("ticker")))
-    return series.holding_outcome(d, bars(t))
+    return series.holding_outcome(d, bars(t), max_days=None)  # bars are days apart in these tables
 
 
 @query("T13_holding_outcome", "ticker:s trade_date:d rating:s raw_return:f alpha_return:f resolution_date:d", "SELECT * FROM outcomes")

@@ -26,9 +26,14 @@ def build_session(app: str = "pitgrid", cores: str = "*", shuffle_partitions: in
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the session's own setting, a new folder only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for lineage cuts: the context's checkpoint directory, else the session's setting.
+
+    With neither, a temporary folder is made in local mode only: on a cluster its files would stay on one machine.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pitgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -101,10 +101,11 @@ def scan_decision_log(spark: SparkSession, path: str) -> DataFrame:
     df = df.select("body", parts.alias("f")).where(F.size("f") >= 4)
     at = lambda i: F.get("f", F.lit(i))
     pending = at(3) == "pending"
-    late = F.get(F.filter(F.slice("f", 7, 100), lambda x: x.startswith("resolved:")), F.lit(0))
+    # of several such fields the last one counts
+    late = F.try_element_at(F.filter("f", lambda x, i: (i >= 6) & x.startswith("resolved:")), F.lit(-1))
     return df.select(
         at(0).alias("date"), at(1).alias("ticker"), at(2).alias("rating"), pending.alias("pending"), F.when(~pending, at(3)).alias("raw"), at(4).alias("alpha"), at(5).alias("holding"),
-        F.trim(F.substring(late, 10, 100)).alias("resolved"),
+        F.trim(F.substr(late, F.lit(10))).alias("resolved"),
         F.regexp_replace(F.regexp_extract("body", "(?s)DECISION:\\s*(.*?)(?:\\s*REFLECTION:|\\s*$)", 1), "\\s+$", "").alias("decision"),
         F.regexp_replace(F.regexp_extract("body", "(?s)REFLECTION:\\s*(.*)$", 1), "\\s+$", "").alias("reflection"),
     )

@@ -1,12 +1,12 @@
 """Hand-made frames with exact expectations."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pitgrid.operators import asof, factors, ingest, learning, membership, performance, portfolio, screens, series, text
-from pitgrid.sources import writers
+from pitgrid.sources import readers, writers
 
 D = date.fromisoformat
 
@@ -176,3 +176,70 @@ def test_ema_matches_a_plain_loop_across_blocks(spark):
     for g, x in zip(got, xs):
         num, den = x + num * 13 / 14, 1 + den * 13 / 14
         assert g == pytest.approx(num / den, rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2000])
+def test_ema_of_any_span_is_exact(spark, n):
+    xs = [((i * 37) % 101) / 10 for i in range(3000)]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(xs)], "sym string, i int, close double")
+    got = [r.e for r in series.ema(df, "sym", "i", "close", n, "e").orderBy("i").collect()]
+    num = den = 0.0
+    for g, x in zip(got, xs, strict=True):
+        q = 1 - 2 / (n + 1)
+        num, den = x + num * q, 1 + den * q
+        assert g == pytest.approx(num / den, rel=1e-9)
+
+
+def test_decision_log_keeps_the_last_resolved_field_whole(spark, tmp_path):
+    tail = "2024-02-09 " + "x" * 150
+    fields = "2024-01-02 | T | Buy | +1% | -1% | 5d | resolved:2024-01-09 | " + "note | " * 120 + f"resolved:{tail}"
+    (tmp_path / "log.md").write_text(f"[{fields}]\n\nDECISION:\nRating: Buy\n\n{readers.ENTRY_END}\n")
+    assert [r.resolved for r in readers.scan_decision_log(spark, str(tmp_path)).collect()] == [tail]
+
+
+def test_a_known_id_holds_for_the_whole_share_class_group(spark):
+    roster = spark.createDataFrame([("UA",), ("UAA",)], "ticker string")
+    known = spark.createDataFrame([("UA", "9")], "ticker string, company_id string")
+    out = membership.collapse_share_classes(roster, known, membership.share_class_table(spark)).collect()
+    assert [(r.company_id, r.ticker, r.n_classes) for r in out] == [("9", "UAA", 2)]
+
+
+def test_total_loss_ends_the_wealth(spark):
+    rows = [("s", D("2024-01-31"), 0.1, 0.0, 0.0), ("s", D("2024-02-29"), -1.0, 0.0, 0.0), ("s", D("2024-03-31"), 0.5, 0.01, 0.0)]
+    df = spark.createDataFrame(rows, "strategy string, date date, ret double, bench double, turnover double")
+    assert [round(r.wealth, 9) for r in performance.wealth_curve(df).orderBy("date").collect()] == [1.1, 0.0, 0.0]
+    m = performance.strategy_metrics(df).first()
+    assert m.cagr == -1.0 and m.max_drawdown == -1.0
+
+
+def test_outcome_outside_the_window_stays_pending(spark):
+    bars = [(s, D("2024-01-02") + timedelta(days=5 * i), 10.0 + i) for s in ("T", "SPY") for i in range(8)]
+    b = spark.createDataFrame(bars, "ticker string, price_date date, close double")
+    d = spark.createDataFrame([("T", D("2024-01-02"), "SPY")], "ticker string, trade_date date, benchmark string")
+    assert series.holding_outcome(d, b).first().raw_return is None
+    assert series.holding_outcome(d, b, max_days=None).first().raw_return == pytest.approx(0.5)
+    assert series.holding_outcome(d, b, holding=2).first().raw_return == pytest.approx(0.2)
+
+
+def test_months_without_history_get_neutral_scores(spark):
+    rows = [(D(f"2024-0{m}-28"), str(i), 0.1 * i, 0.01 * i, 0.02 * i) for m in (1, 2, 3) for i in range(6)]
+    p = spark.createDataFrame(rows, "signal_date date, company_id string, factor_score double, x double, next_month_excess_return double")
+    out = learning.walk_forward(p, [D("2024-01-28"), D("2024-03-28")], ["x"]).collect()
+    assert len(out) == 12 and {(r.elastic_score, r.tree_score, r.fitted) for r in out} == {(0.0, 0.0, False)}
+
+
+def test_staging_uses_the_shared_folder(spark):
+    from pitgrid.session import checkpoint_folder
+    assert checkpoint_folder(spark) == spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+    class Context:
+        master = "spark://host:7077"
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_folder(Session())
