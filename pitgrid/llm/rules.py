@@ -94,7 +94,9 @@ def judged(rows: DataFrame, bounds: DataFrame, prefix: str = "_q_") -> DataFrame
     groups = pick(0, 0)
     groups = groups.join(pick(1, 1).drop("_s1"), F.col("_l0").eqNullSafe(F.col("_l1")), "left").join(pick(2, 2).drop("_l2", "_s2"), F.lit(True), "left")
     enough = lambda n: F.col(f"_b{n}.docs") >= MIN_DOCS
+    # written first: its size is then known, and a small table is joined without a shuffle of the rows
     groups = groups.select("_l0", "_s0", F.when(enough(0), F.col("_b0")).when(enough(1), F.col("_b1")).otherwise(F.col("_b2")).alias("_b"))
+    groups = stage(groups, "thresholds")
     out = rows.join(groups, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
     fits = F.lit(True)
     for m in MEASURES:
@@ -105,8 +107,11 @@ def judged(rows: DataFrame, bounds: DataFrame, prefix: str = "_q_") -> DataFrame
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.
 
-    Each text is measured once: rows and measures are written to the shared folder, read for the sketches (measures
-    only) and read again for the verdicts.
+    Each text is measured once; what is written are the counts. The verdicts find their rows by doc_id, language, source and
+    a hash of the text, which costs one shuffle of the texts and no copy of them.
     """
-    rows = stage(measured(docs), "measured")
-    return judged(rows, thresholds(sketches(rows))).where("_q_kept").select(*docs.columns)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    key = F.concat_ws("\x01", text("doc_id"), text("lang"), text("source"), F.xxhash64(text("text"))).alias("_row")
+    rows = stage(measured(docs.select("lang", "source", "text", key)).drop("text"), "measured")
+    kept = judged(rows, thresholds(sketches(rows))).where("_q_kept").select("_row")
+    return docs.select("*", key).hint("merge").join(kept, "_row", "left_semi").drop("_row")

@@ -68,8 +68,8 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = one.groupBy("band").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m.a")
     pairs = stage(one.join(heads, "band").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "candidates")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stage(rows.toDF("id", "text").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = stage(rows.toDF("id", "text").hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
+    both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verified(a, b, ta, tb):
         x, y = shingle_set(ta, k), shingle_set(tb, k)
@@ -95,5 +95,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     merged = connected(ends.select("ca", "cb").union(ties), "ca", "cb")
     smallest = merged.groupBy("root").agg(F.min("node").alias("keep"))
     gone = merged.join(smallest, "root").where("node <> keep").select(F.col("node").alias("component_id"))
-    kept = stage(own.select("component_id").distinct().join(gone, "component_id", "left_anti").withColumnRenamed("component_id", "_kept_id"), "kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_row")
+    # a null component has null ids only, so its name is found under the null rows
+    kept = own.select("component_id").distinct().join(gone, "component_id", "left_anti").select(name("component_id"))
+    # one key for the join and for repeated rows, so texts are shuffled once
+    return docs.select("*", name(id_col)).hint("merge").join(stage(kept, "kept"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
