@@ -313,7 +313,8 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == want
     assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h in rows}
     only = back.where("record_type = 'revisit'")
-    assert "record_type" not in only._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0] and only.count() == 3
+    # the source tests the value; Spark keeps only its own null test
+    assert "= revisit" not in only._jdf.queryExecution().executedPlan().toString() and only.count() == 3
     light = warc.read_archives(spark, path, payload=False).where(F.col("page_id").isin(1, 5)).collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload) for r in light) == [(1, 4, None), (5, 80_000, None)]
     (tmp_path / "plain").mkdir()
