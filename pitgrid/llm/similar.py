@@ -46,12 +46,20 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): pairs of doc_ids with equal shingle sets, or verified to share ``least`` of them.
+def _shared_bands(found: DataFrame) -> DataFrame:
+    """(id, band, n): the bands that a text shares with others, with their number of texts."""
+    one = found.select("id", F.explode("bands").alias("band"))
+    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(one.join(sizes, "band"), "shared-bands")
 
-    Equal sets are first reduced to their smallest doc_id, so copies make no bands of their own. In each band every text is paired with one
-    representative, another one in each of the 20 bands, so pairs grow with the number of texts and not with its square.
-    Null ids and texts without words are left out.
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(copies, pairs): pairs (a, b) of doc_ids with equal shingle sets, and candidates (a, b, first) to verify.
+
+    Equal sets are first reduced to their smallest doc_id, so copies make no bands of their own. In each of the 20 bands every text is paired with two others: the
+    text that shares most with all (the original of a family of edited copies keeps the bands that its copies lose one by one), and one drawn
+    anew in each band. Pairs grow with the number of texts and not with its square. ``first`` marks one pair per
+    text, that in its fullest band: these tie most of a family together. Null ids and texts without words are left out.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).where(F.col(id_col).isNotNull())
 
@@ -60,39 +68,59 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return ((i, xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), band_keys(s)),) if len(s) else ()
 
     found = stage(map_rows(rows, lambda: marks, "id long, same long, bands array<long>"), "bands")
-    first = found.groupBy("same").agg(F.min("id").alias("a"))
-    copies = found.select("id", "same").join(first, "same").where("id <> a").select("a", F.col("id").alias("b"))
-    one = found.join(first.select(F.col("a").alias("id")), "id").select("id", F.explode("bands").alias("band"))
-    # the representative of a band: smallest by an order of that band's own
-    order = F.struct(F.xxhash64("band", "id").alias("o"), F.col("id").alias("a"))
-    heads = one.groupBy("band").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m.a")
-    pairs = stage(one.join(heads, "band").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "candidates")
+    heads_of_copies = found.groupBy("same").agg(F.min("id").alias("a"))
+    copies = found.select("id", "same").join(heads_of_copies, "same").where("id <> a").select("a", F.col("id").alias("b"))
+    shared = _shared_bands(found.join(heads_of_copies.select(F.col("a").alias("id"), "same"), ["id", "same"]).dropDuplicates(["id"]))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    drawn = F.struct(F.xxhash64("band", "id").alias("o"), F.col("id").alias("a"))
+    central = F.struct("weight", F.xxhash64("id").alias("o"), F.col("id").alias("a"))
+    heads = shared.join(weight, "id").groupBy("band").agg(F.max(central).alias("c"), F.min(drawn).alias("d"))
+    met = shared.join(heads.select("band", F.col("c.a").alias("c"), F.col("d.a").alias("d")), "band")
+    best = met.where("id <> c").groupBy("id").agg(F.max(F.struct("n", "c")).alias("m")).select("id", F.col("m.c").alias("h"), F.lit(True).alias("first"))
+    every = met.select("id", F.explode(F.array("c", "d")).alias("h"), F.lit(False).alias("first")).where("id <> h")
+    both = best.union(every).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), "first")
+    return copies, stage(both.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts share ``least`` of their k-word shingles."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stage(rows.toDF("id", "text").hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    texts = stage(rows.hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
     both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def verified(a, b, ta, tb):
+    def shared_enough(a, b, ta, tb):
         x, y = shingle_set(ta, k), shingle_set(tb, k)
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return ((a, b),) if shared >= least * (len(x) + len(y) - shared) else ()
 
-    return copies.union(map_rows(both.select("a", "b", "ta", "tb"), lambda: verified, "a long, b long"))
+    return map_rows(both.select("a", "b", "ta", "tb"), lambda: shared_enough, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: one row of each group stays, that with the smallest doc_id.
 
-    Groups are connected by SimHash links (two bits or fewer of 64) and by pairs that share ``least`` of their k-word shingles.
+    Groups are connected by SimHash links (two bits or fewer of 64) and by pairs that share ``least`` of their k-word shingles. Candidate
+    pairs are verified in two passes; one whose ends are connected already adds nothing to the groups and is not read again.
     Rows that repeat a doc_id count as copies. Null texts and texts without words are one group. A row with a null doc_id stays only if its SimHash component has
     no other. Columns are those of ``docs``.
     """
     own = stage(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id").distinct(), "simhash-groups")
     label = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
-    pairs = similar_pairs(docs, id_col, text_col, k, least)
-    ends = pairs.join(label.select(F.col("doc_id").alias("a"), F.col("c").alias("ca")), "a").join(label.select(F.col("doc_id").alias("b"), F.col("c").alias("cb")), "b")
+    named = lambda c, out: label.select(F.col("doc_id").alias(c), F.col("c").alias(out))
+    ends = lambda pairs: pairs.join(named("a", "ca"), "a").join(named("b", "cb"), "b")
+    copies, pairs = candidates(docs, id_col, text_col, k)
     # a doc_id with several texts ties the components of its rows
     ties = own.join(label, "doc_id").select(F.col("component_id").alias("ca"), F.col("c").alias("cb"))
-    merged = connected(ends.select("ca", "cb").union(ties), "ca", "cb")
+    edges = stage(ends(copies).select("ca", "cb").union(ties).where("ca <> cb").distinct(), "group-edges")
+    pairs = stage(ends(pairs), "candidate-ends")
+    for some in (F.col("first"), ~F.col("first")):
+        roots = connected(edges, "ca", "cb")
+        root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))  # noqa: E731, B023
+        apart = pairs.where(some).join(root("ca", "ra"), "ca", "left").join(root("cb", "rb"), "cb", "left").where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
+        new = verified(stage(apart.select("a", "b"), "apart"), docs, id_col, text_col, k, least)
+        edges = stage(edges.union(ends(new).select("ca", "cb")).distinct(), "group-edges")
+    merged = connected(edges, "ca", "cb")
     smallest = merged.groupBy("root").agg(F.min("node").alias("keep"))
     gone = merged.join(smallest, "root").where("node <> keep").select(F.col("node").alias("component_id"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_row")

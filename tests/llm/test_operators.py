@@ -366,6 +366,22 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_dedup_finds_the_original_of_many_edited_copies(spark):
+    """Copies edited at different places are alike to their original (0.83 or more), not to each other (0.72)."""
+    rng = np.random.default_rng(5)
+    base = [f"v{i}" for i in range(600)]
+    rows = [(7, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for at in rng.choice(120, 11, replace=False):
+            w[5 * at] = f"e{i}x{at}"
+        rows.append((100 + i, " ".join(w)))
+    alike = [(a, b) for a in range(0, 301, 20) for b in range(a) if b % 20 == 0 and len(shingles(rows[a][1]) & shingles(rows[b][1])) >= 0.8 * len(shingles(rows[a][1]) | shingles(rows[b][1]))]
+    assert alike and all(b == 0 for _, b in alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in similar.keep_one(df).collect()] == [7]
+
+
 def test_pipeline_runs_whole(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "mask_secrets", "mix_sources", "pack_sequences"]
     out = corpus_pipeline.run(spark, SF)
