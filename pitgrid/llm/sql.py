@@ -1,3 +1,45 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pitgrid.llm.rules import EXACT, MEASURES, MIN_DOCS, SPREAD
+
+#: A base32 digit is 5 bits, so five hex digits hold four of them.
+WARC = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+_bucket = lambda v: f"(CASE WHEN {v} < {EXACT} THEN {v} ELSE {EXACT} + length(bin({v})) END)"
+_long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket('m_' + m)} AS bucket FROM m WHERE n_words >= 10" for m in MEASURES)
+_slack = " ".join(f"WHEN '{m}' THEN {n}" for m, n in MEASURES.items())
+_fits = " AND ".join(f"coalesce({_bucket('m.m_' + m)} <= CASE WHEN o.docs >= {MIN_DOCS} THEN o.t_{m} WHEN l.docs >= {MIN_DOCS} THEN l.t_{m} ELSE g.t_{m} END, true)" for m in MEASURES)
+RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+twice AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least(5, coalesce(next - i, 5))) AS n FROM twice GROUP BY r),
+c AS (SELECT r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) AS capitals FROM w LEFT JOIN rep USING (r)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS m_symbols, CASE WHEN n_words > 0 THEN 1000 * capitals // n_words ELSE 0 END AS m_capitals,
+  CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS m_repeated_lines, CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS m_word_length FROM c),
+long AS ({_long}),
+levels AS (SELECT 0 AS level, lang, source, measure, bucket FROM long UNION ALL SELECT 1, lang, NULL, measure, bucket FROM long UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM long),
+q AS (SELECT level, lang, source, measure, count(*) AS docs, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.1) AS q10 FROM levels GROUP BY ALL),
+t AS (SELECT level, lang, source, max(docs) AS docs, {', '.join(f"max(q50 + {SPREAD} * (q50 - q10) + CASE measure {_slack} END) FILTER (measure = '{m}') AS t_{m}" for m in MEASURES)} FROM q GROUP BY level, lang, source)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, NOT m.base_failed AND {_fits} AS kept
+FROM m LEFT JOIN t o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
+LEFT JOIN t l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN t g ON g.level = 2
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_warc": WARC, "op10_quality_rules": RULES}

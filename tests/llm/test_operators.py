@@ -387,3 +387,19 @@ def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.min("doc_id")).first()[0] is not None
     assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op([1-9]|10)_", q)} and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = sorted(c[0] for c in found.description)
+    at = {c[0]: i for i, c in enumerate(found.description)}
+    want = sorted(str(tuple(r[at[c]] for c in columns)) for r in found.fetchall())
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert sorted(got.columns) == columns
+    assert sorted(str(tuple(r[c] for c in columns)) for r in got.collect()) == want
