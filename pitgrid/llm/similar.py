@@ -82,11 +82,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return copies, stage(both.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole texts share ``least`` of their k-word shingles."""
+def texts_of(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of the ends of ``pairs``, written once: the texts of ``docs`` are shuffled for it a single time."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    texts = stage(rows.hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
+    return stage(rows.hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts share ``least`` of their k-word shingles."""
     both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def shared_enough(a, b, ta, tb):
@@ -114,11 +118,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ties = own.join(label, "doc_id").select(F.col("component_id").alias("ca"), F.col("c").alias("cb"))
     edges = stage(ends(copies).select("ca", "cb").union(ties).where("ca <> cb").distinct(), "group-edges")
     pairs = stage(ends(pairs), "candidate-ends")
+    texts = texts_of(pairs.where("ca <> cb"), docs, id_col, text_col)
     for some in (F.col("first"), ~F.col("first")):
         roots = connected(edges, "ca", "cb")
         root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))  # noqa: E731, B023
         apart = pairs.where(some).join(root("ca", "ra"), "ca", "left").join(root("cb", "rb"), "cb", "left").where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
-        new = verified(stage(apart.select("a", "b"), "apart"), docs, id_col, text_col, k, least)
+        new = verified(stage(apart.select("a", "b"), "apart"), texts, k, least)
         edges = stage(edges.union(ends(new).select("ca", "cb")).distinct(), "group-edges")
     merged = connected(edges, "ca", "cb")
     smallest = merged.groupBy("root").agg(F.min("node").alias("keep"))
