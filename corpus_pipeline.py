@@ -43,7 +43,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Hashes, tokens and the packing order have no SQL form; tests compare each stage with a brute-force version.
+#: Hashes, tokens and the packing order have no SQL form; tests compare the stages' operators, and the rows that near_dedup keeps, with brute force.
 ORACLE_SQL = None
 
 

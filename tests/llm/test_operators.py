@@ -366,6 +366,32 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_dedup_stage_equals_all_pairs(spark):
+    """The rows that stay against groups from all pairs of texts: two bits or fewer, or 80 % of the shingles."""
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    group = groups_of([(r["doc_id"], plain_simhash(r["text"])) for r in rows])
+    sets, holders = [shingles((r["text"] or "").translate(LOWER)) for r in rows], collections.defaultdict(list)
+    parent = {g: g for g in group}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        shared = collections.Counter(j for s in own for j in holders[s])
+        for j, n in shared.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(group[i]), find(group[j])))
+                parent[b] = a
+        for s in own:
+            holders[s].append(i)
+    want = sorted({find(g) for g in group})
+    assert len(want) < len(rows)
+    kept = similar.keep_one(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+
+
 def test_dedup_finds_the_original_of_many_edited_copies(spark):
     """Copies edited at different places are alike to their original (0.83 or more), not to each other (0.72)."""
     rng = np.random.default_rng(5)
