@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pitgrid.functions.staging import stage
 from pitgrid.llm.common import map_rows
@@ -101,24 +101,28 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = 5, least: float = 0.8)
     return map_rows(both.select("a", "b", "ta", "tb"), lambda: shared_enough, "a long, b long")
 
 
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of doc_id and text, together the key of a row; rows without a doc_id have keys like any other."""
+    i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.xxhash64(i, t).alias("_row"), F.xxhash64(F.lit(1), t, i).alias("_row2")]
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: one row of each group stays, that with the smallest doc_id.
+    """The rows of ``docs`` less near-duplicates: one row of each group stays, that with the smallest doc_id; one without a doc_id only if the group has no other.
 
     Groups are connected by SimHash links (two bits or fewer of 64) and by pairs that share ``least`` of their k-word shingles. Candidate
     pairs are verified in two passes; one whose ends are connected already adds nothing to the groups and is not read again.
-    Rows that repeat a doc_id count as copies. Null texts and texts without words are one group. A row with a null doc_id stays only if its SimHash component has
-    no other. Columns are those of ``docs``.
+    Rows are told apart by doc_id and text: a row that repeats both is a copy, different texts under one doc_id or under none are documents of their own.
+    Null texts and texts without words are one group. Columns are those of ``docs``.
     """
-    own = stage(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id").distinct(), "simhash-groups")
-    label = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
-    named = lambda c, out: label.select(F.col("doc_id").alias(c), F.col("c").alias(out))
+    rows = docs.select("*", *row_keys(id_col, text_col))
+    own = stage(near_duplicates(rows, "_row", text_col).select(F.col("doc_id").alias("_row"), "component_id").distinct(), "simhash-groups")
+    named = lambda c, out: own.select(F.col("_row").alias(c), F.col("component_id").alias(out))
     ends = lambda pairs: pairs.join(named("a", "ca"), "a").join(named("b", "cb"), "b")
-    copies, pairs = candidates(docs, id_col, text_col, k)
-    # a doc_id with several texts ties the components of its rows
-    ties = own.join(label, "doc_id").select(F.col("component_id").alias("ca"), F.col("c").alias("cb"))
-    edges = stage(ends(copies).select("ca", "cb").union(ties).where("ca <> cb").distinct(), "group-edges")
+    copies, pairs = candidates(rows, "_row", text_col, k)
+    edges = stage(ends(copies).select("ca", "cb").where("ca <> cb").distinct(), "group-edges")
     pairs = stage(ends(pairs), "candidate-ends")
-    texts = texts_of(pairs.where("ca <> cb"), docs, id_col, text_col)
+    texts = texts_of(pairs.where("ca <> cb"), rows, "_row", text_col)
     for some in (F.col("first"), ~F.col("first")):
         roots = connected(edges, "ca", "cb")
         root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))  # noqa: E731, B023
@@ -126,10 +130,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         new = verified(stage(apart.select("a", "b"), "apart"), texts, k, least)
         edges = stage(edges.union(ends(new).select("ca", "cb")).distinct(), "group-edges")
     merged = connected(edges, "ca", "cb")
-    smallest = merged.groupBy("root").agg(F.min("node").alias("keep"))
-    gone = merged.join(smallest, "root").where("node <> keep").select(F.col("node").alias("component_id"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_row")
-    # a null component has null ids only, so its name is found under the null rows
-    kept = own.select("component_id").distinct().join(gone, "component_id", "left_anti").select(name("component_id"))
+    group = own.join(merged, F.col("component_id") == F.col("node"), "left").select("_row", F.coalesce("root", "component_id").alias("group"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "_row2")).alias("m")
+    kept = rows.select("_row", "_row2", F.col(id_col).cast("long").alias("id")).join(group, "_row").groupBy("group").agg(best).select("m._row", "m._row2")
     # one key for the join and for repeated rows, so texts are shuffled once
-    return docs.select("*", name(id_col)).hint("merge").join(stage(kept, "kept"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    key = ["_row", "_row2"]
+    return rows.hint("merge").join(stage(kept, "kept"), key, "left_semi").dropDuplicates(key).drop(*key)

@@ -366,6 +366,14 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_dedup_tells_rows_without_an_id_apart(spark):
+    """Different texts under no doc_id, or under one, are documents of their own; a copy under no doc_id goes."""
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(200))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (1, text("a")), (2, text("d")), (2, text("e")), (2, text("e"))]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[:1]) for r in kept) == [("1", "a"), ("2", "d"), ("2", "e"), ("None", "b"), ("None", "c")]
+
+
 def test_dedup_stage_equals_all_pairs(spark):
     """The rows that stay against groups from all pairs of texts: two bits or fewer, or 80 % of the shingles."""
     rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
