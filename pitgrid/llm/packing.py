@@ -9,6 +9,7 @@ Bins that a worker leaves unfinished are cut to power-of-two lengths, which need
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,6 +24,9 @@ from pitgrid.llm.common import find_package
 CAPACITY = 2048
 END_ID = 1
 _CACHE_WORDS = 600_000
+#: White space of the tokenizer: what str.split() parts at, less U+001C to U+001F, which are tokens.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_NO_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 class WordTokens:
@@ -74,7 +78,8 @@ class WordTokens:
             known[w] = known[w[:-1]] + ends[w[-1]]
 
     def ids(self, text: str | None) -> bytes:
-        words = text.encode().lower().decode().split() if text else []
+        low = (text or "").encode().lower().decode()
+        words = [w for w in _SPACES.split(low) if w] if any(c in low for c in _NO_SPACES) else low.split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])

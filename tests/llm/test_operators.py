@@ -223,6 +223,18 @@ def test_packing_round_trip(spark, odd, empty, small):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_words_part_at_the_tokenizers_own_white_space():
+    """Every character that str.split() takes for white space, in both ways: parted at or a token."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.WordTokens(queries.tokenizer_path())
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [f"a{c}b, {c}C{c}{c} d.{c}" for c in spaces] + ["a\x1cb", "\x1d", "x\u2003\x1f~\x1ey\x85z", " ".join(spaces)]
+    assert tok.encode("a\x1cb", add_special_tokens=False).ids == [320, 472, 321]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
