@@ -378,6 +378,25 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_dedup_finds_pairs_in_crowded_bands(spark):
+    """Pages of one template, near-copies only in pairs (0.82), all others below 0.8: one of each pair stays, less the links of SimHash."""
+    passage = " ".join(f"p{i}" for i in range(604))
+    rows = []
+    for i in range(150):
+        two = [f"two{i}x{j}" for j in range(30)]
+        for side in "ab":
+            rows.append((len(rows), " ".join([passage, *two, *(f"{side}{i}x{j}" for j in range(61))])))
+    like = lambda a, b: len(shingles(rows[a][1]) & shingles(rows[b][1])) / len(shingles(rows[a][1]) | shingles(rows[b][1]))
+    assert min(like(i, i + 1) for i in range(0, 300, 2)) > 0.8 and max(like(a, b) for a in range(0, 300, 20) for b in range(0, a, 2)) < 0.8
+    group = groups_of([(i, plain_simhash(t)) for i, t in rows])
+    for i in range(0, 300, 2):
+        a, b = sorted((group[i], group[i + 1]))
+        group = [a if g == b else g for g in group]
+    assert len(set(group)) > 100
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(group))
+
+
 def test_dedup_tells_rows_without_an_id_apart(spark):
     """Different texts under no doc_id, or under one, are documents of their own; a copy under no doc_id goes."""
     text = lambda tag: " ".join(f"{tag}{i}" for i in range(200))
