@@ -55,15 +55,18 @@ def m03(t):
 
 @query("M04_gbt_grid", "signal_date:d company_id:s tree_score:f")
 def m04(t):
+    p = panel(t)
+    known = F.col("signal_date") < F.lit(FIT_MONTH)
+    _, best = learning.select_params(p.where(known & F.col(learning.TARGET).isNotNull()), FAMILY_COLUMNS)
     v = learning.stage(fitted(t), "gbt")
-    model = learning.trees((0.08, 3), "label", 10).fit(v.where(F.col("signal_date") < F.lit(FIT_MONTH)))
+    model = learning.trees(best, "label", learning.ROUNDS).fit(v.where(known & F.col("label").isNotNull()))
     return model.setPredictionCol("tree_score").transform(v)
 
 
 @query("M05_annual_model_selection", "signal_date:d company_id:s elastic_score:f tree_score:f")
 def m05(t):
-    months = [FIT_MONTH, datetime.date(2001, 1, 31)]
-    return learning.walk_forward(panel(t), months, FAMILY_COLUMNS, rounds=3, tree_grid=((0.03, 3), (0.08, 4)))
+    months = [r[0] for r in t.signals.select("signal_date").distinct().collect()]  # one row per month
+    return learning.walk_forward(panel(t), months, FAMILY_COLUMNS)
 
 
 step("two_scores", "SELECT signal_date, company_id, factor_score, factor_quality AS e, factor_low_risk AS t FROM factor_panel")
