@@ -42,4 +42,35 @@ FROM m LEFT JOIN t o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM m.lang AND o
 LEFT JOIN t l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN t g ON g.level = 2
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_warc": WARC, "op10_quality_rules": RULES}
+_lower = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format  # noqa: UP032
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all({_lower('text')}, '{_TERM}') AS ts FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_lower('text')}, '{_TERM}')) AS t FROM (SELECT CAST(item_id AS BIGINT) AS item_id, text FROM benchmark)),
+p AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY t), s),
+c AS (SELECT p.r, p.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(len(ts) AS BIGINT) * docs) // l))) AS c FROM p JOIN w USING (t) JOIN d USING (r), s),
+g AS (SELECT item_id, r, CAST(sum(c) AS BIGINT) AS score FROM q JOIN c USING (t) GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM g JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+_grams = " UNION ALL ".join(f"SELECT lang, {k} AS size, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM p WHERE len(ws) >= {k})" for k in range(1, 6))
+COLLOCATIONS = f"""
+WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_lower('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda v: v <> '') AS ws FROM x),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS BIGINT) AS a FROM ({_grams}) GROUP BY ALL HAVING count(*) >= 100),
+b AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+inner_ AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:size - 1], ' '), array_to_string(ws[2:size], ' ')]) AS phrase FROM b WHERE size > 2) GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 100 * b.a),
+c AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS front, array_to_string(ws[k + 1:size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM o)),
+z AS (SELECT c.lang, c.phrase, c.a, c.k, y.a AS l, e.a AS r, n.n, (CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(y.a AS HUGEINT) * e.a) AS score
+  FROM c JOIN f y ON y.lang = c.lang AND y.phrase = c.front JOIN f e ON e.lang = c.lang AND e.phrase = c.rest JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM t WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_warc": WARC, "op10_quality_rules": RULES, "op11_ranked_search": SEARCH, "op12_collocations": COLLOCATIONS}
