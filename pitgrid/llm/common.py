@@ -34,6 +34,21 @@ def shingle_hashes(words: str, k: int) -> Column:
     return F.slice(hashed, F.lit(1), F.when(n == 0, 0).otherwise(F.greatest(n - (k - 1), F.lit(1))))
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row per ``key``; no key's rows all go to one task.
+
+    A key with more than 1 / ``share`` of the rows is hot: there are fewer than ``share`` of them, so their part of ``one`` is broadcast. All other keys
+    meet in a shuffle. ``rows`` is read three times and should be a written table.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    hot = [r[key] for r in counts.where(F.col("n") * share > max(total, share * share)).select(key).where(F.col(key).isNotNull()).collect()]
+    if not hot:
+        return rows.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key).unionByName(rows.where(~is_hot).join(one, key))
+
+
 def find_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, if they see that folder."""
     root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

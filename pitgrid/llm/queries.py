@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitgrid.functions.staging import stage
-from pitgrid.llm import collocations, lexical, licenses, mixing, packing, quality_model, rules, secrets, sharding, simhash, sketches, warc
+from pitgrid.llm import collocations, hyperminhash, lexical, licenses, mixing, packing, quality_model, rules, secrets, sharding, simhash, sketches, warc
 from pitgrid.llm.common import table
 from pitgrid.llm.sql import ORACLE_SQL
 
@@ -83,7 +83,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_secrets, op4_mixing, op5_packing, op6_sketches, op7_sharding, op8_licenses, op9_warc, op10_quality_rules,
-                                op11_ranked_search, op12_collocations)}
+                                op11_ranked_search, op12_collocations, op13_hyperminhash)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
