@@ -34,8 +34,8 @@ def shingle_hashes(words: str, k: int) -> Column:
     return F.slice(hashed, F.lit(1), F.when(n == 0, 0).otherwise(F.greatest(n - (k - 1), F.lit(1))))
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """``rows`` joined with ``one``, which has one row per ``key``; no key's rows all go to one task.
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` joined (inner or left) with ``one``, which has one row per ``key``; no key's rows all go to one task.
 
     A key with more than 1 / ``share`` of the rows is hot: there are fewer than ``share`` of them, so their part of ``one`` is broadcast. All other keys
     meet in a shuffle. ``rows`` is read three times and should be a written table.
@@ -44,9 +44,22 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, share: int = 1000) ->
     total = rows.count()
     hot = [r[key] for r in counts.where(F.col("n") * share > max(total, share * share)).select(key).where(F.col(key).isNotNull()).collect()]
     if not hot:
-        return rows.join(one, key)
+        return rows.join(one, key, how)
     is_hot = F.col(key).isin(hot)
-    return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key).unionByName(rows.where(~is_hot).join(one, key))
+    rest = F.coalesce(~is_hot, F.lit(True))
+    return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how).unionByName(rows.where(rest).join(one, key, how))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def find_package(spark: SparkSession) -> None:

@@ -38,7 +38,9 @@ _lenders = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)], axis=1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Hashes(dict):
+class WordHashes(dict):
+    """64-bit hashes of words, the last ``KNOWN`` or fewer remembered."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN:
             self.clear()
@@ -46,7 +48,8 @@ class _Hashes(dict):
         return h
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
+    """Hashes of hashes."""
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
@@ -57,7 +60,7 @@ def pair_set(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
     words = (text or b"").lower().split()
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(h) > 1:
-        h = _mix(_mix(h[:-1]) + h[1:])
+        h = mix(mix(h[:-1]) + h[1:])
     return np.unique(h)
 
 
@@ -101,19 +104,47 @@ def bound(a: int, b: int, least: float) -> float:
     return least - MARGIN * math.sqrt(least * (1 - least) / filled)
 
 
+def set_id(s: np.ndarray) -> int:
+    """Signed 64-bit name of a set."""
+    return xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63)
+
+
+def band_posts(classes: DataFrame) -> DataFrame:
+    """(id, band): one row per set of ``classes`` (id, regs) and band."""
+    return classes.select("id", F.posexplode("regs").alias("i", "r")).select("id", F.xxhash64("i", "r").alias("band"))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
+    """The ``pairs`` (a, b and other columns) whose sizes and registers in ``classes`` (id, n, regs) allow ``percent`` of shared elements."""
+    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"_n{s}"), F.col("regs").alias(f"_r{s}"))
+    kept = pairs.columns
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
+
+    def run(batches):
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS)  # noqa: E731, B023
+            equal = (flat("_ra") == flat("_rb")).sum(axis=1).tolist()
+            sizes = zip(equal, batch.column("_na").to_pylist(), batch.column("_nb").to_pylist(), strict=True)
+            good = [similarity(e, a, b) >= bound(a, b, percent / 100) for e, a, b in sizes]
+            yield batch.select(kept).filter(pa.array(good, pa.bool_()))
+
+    find_package(pairs.sparkSession)
+    return both.select(*kept, "_na", "_nb", "_ra", "_rb").mapInArrow(run, pairs.schema)
+
+
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, n, id, regs) per row of ``docs``: id names the set, regs holds four registers per long; no words: both null."""
     i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(F.xxhash64(i, text).alias("row"), i.alias("doc_id"), text.cast("binary").alias("text"))
 
     def make():
-        known = _Hashes()
+        known = WordHashes()
 
         def mark(row, doc, text):
             s = pair_set(text, known)
             if not len(s):
                 return ((row, doc, 0, None, None),)
-            return ((row, doc, len(s), xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), registers(s).view(np.int64)),)
+            return ((row, doc, len(s), set_id(s), registers(s).view(np.int64)),)
 
         return mark
 
@@ -130,7 +161,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = stage(_marks(docs, id_col, text_col), "marks")
     classes = stage(marks.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("regs").alias("regs")), "set-classes")
-    posts = classes.select("id", F.posexplode("regs").alias("i", "r")).select("id", F.xxhash64("i", "r").alias("band"))
     text = F.col(text_col).cast("string")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -138,34 +168,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.cast("binary").alias("text")).join(wanted, "row", "left_semi").select("text")
 
         def make():
-            known = _Hashes()
+            known = WordHashes()
 
             def one(text):
                 s = pair_set(text, known)
-                return ((xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), s.view(np.int64)),) if len(s) else ()
+                return ((set_id(s), s.view(np.int64)),) if len(s) else ()
 
             return one
 
         return map_rows(rows, make, "id long, s array<long>").dropDuplicates(["id"])
 
-    def screen(pairs: DataFrame) -> DataFrame:
-        side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-        kept = [c for c in pairs.columns]
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb"))
-
-        def run(batches):
-            for batch in batches:
-                flat = lambda c: batch.column(batch.schema.get_field_index(c)).flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS)  # noqa: E731, B023
-                equal = (flat("ra") == flat("rb")).sum(axis=1).tolist()
-                na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-                good = [similarity(e, a, b) >= bound(a, b, percent / 100) for e, a, b in zip(equal, na, nb, strict=True)]
-                yield batch.select(kept).filter(pa.array(good, pa.bool_()))
-
-        find_package(pairs.sparkSession)
-        both = both.select(*kept, "na", "nb", "ra", "rb")
-        return both.mapInArrow(run, pairs.select(*kept).schema)
-
-    edges = links(posts, sets_of, None, percent, screen)
+    edges = links(band_posts(classes), sets_of, None, percent, lambda pairs: likely(pairs, classes, percent))
     roots = connected(edges).join(classes.select(F.col("id").alias("node"), "first"), "node")
     smallest = roots.groupBy("root").agg(F.min("first").alias("least"))
     merged = roots.join(smallest, "root").select(F.col("node").alias("id"), "least")

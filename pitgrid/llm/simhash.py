@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitgrid.functions.staging import stage
-from pitgrid.llm.common import map_rows
+from pitgrid.llm.common import map_rows, spread_join
 from pitgrid.llm.components import connected
 
 BITS = 64
@@ -93,6 +93,16 @@ def links(fps: DataFrame, segments: int = 16) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def components(rows: DataFrame, segments: int = 16) -> DataFrame:
+    """(fp, component_id) per distinct fingerprint of the written table ``rows`` (doc_id, fp): the smallest doc_id that it reaches."""
+    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = connected(links(first.select("fp"), segments)).select(F.col("node").alias("fp"), "root")
+    member = roots.join(first, "fp")
+    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    merged = member.join(smallest, "root").select("fp", "component_id")
+    return first.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, segments: int = 16) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``: the smallest doc_id that its fingerprint reaches
     over links of at most two differing bits, itself included.
@@ -102,11 +112,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal doc_id stay apart. Other columns are not read. An empty table gives an empty result.
     """
     rows = stage(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected(links(first.select("fp"), segments)).select(F.col("node").alias("fp"), "root")
-    member = roots.join(first, "fp")
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    merged = member.join(smallest, "root").select("fp", "component_id")
-    own = first.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(own, "fp").select("doc_id", "fp", "component_id")
-
+    return spread_join(rows, components(rows, segments), "fp").select("doc_id", "fp", "component_id")

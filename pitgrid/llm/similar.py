@@ -1,208 +1,95 @@
 """Near-duplicates of a wider reach for the pipeline: texts whose word shingles agree to 80 %.
 
 Such texts differ in about nine of 64 SimHash bits, far beyond what a grid of popcounts can find by a bound, so the
-pipeline adds these links to the SimHash ones: candidates share a band of a min-hash
-signature, and each is verified by the exact similarity of the two whole texts. A band of few texts gives all its pairs.
-The texts of a crowded band are first tied to two of them; what stays apart goes through an exact prefix filter (``crowded_pairs``).
+pipeline adds these links to the SimHash ones. One pass over the texts gives their fingerprints, the names of their shingle sets and HyperMinHash
+registers; a second one reads the sets of those that meet in a band, and ``setjoin.links`` compares them whole.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitgrid.functions.staging import stage
-from pitgrid.llm.common import find_package, map_rows
+from pitgrid.llm.common import free_names, map_rows, spread_join
 from pitgrid.llm.components import connected
-from pitgrid.llm.simhash import SEED, near_duplicates
-
-BANDS, ROWS = 20, 5
-#: Texts of a band up to which all its pairs are listed.
-FEW = 8
-#: Counters of shingles for the order of the prefix filter, by the first bits of the hash; its results hold for any counts.
-COUNTER_BITS = 20
-_rng = np.random.default_rng(11)
-_factors = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_shifts = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+from pitgrid.llm.hyperminhash import WordHashes, band_posts, likely, mix, registers, set_id
+from pitgrid.llm.setjoin import links
+from pitgrid.llm.simhash import components, simhash
 
 
-def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
+def shingle_set(text: bytes | None, known: dict[bytes, int], k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles, A-Z lower-cased; fewer words: the whole sequence; none: empty."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-k].tolist()] if len(words) > k else [0]
-    stops = (ends[k - 1 :] - 1).tolist() if len(words) > k else [len(joined)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key per band of the min-hash signature; none for an empty set."""
-    if not len(hashes):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[at : at + 2048, None] * _factors + _shifts).min(axis=0))
-    raw = low.astype("<u8").tobytes()
-    step = 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
-
-
-def _shared_bands(found: DataFrame) -> DataFrame:
-    """(id, band, n): the bands that a text shares with others, with their number of texts."""
-    one = found.select("id", F.explode("bands").alias("band"))
-    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(one.join(sizes, "band"), "shared-bands")
-
-
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(copies, pairs, crowd): pairs (a, b) of ids with equal shingle sets, candidates (a, b, first) to verify, and (id, band) of the crowded bands.
-
-    Equal sets are first reduced to their smallest id, so copies make no bands of their own. A band of ``FEW`` texts or fewer gives all its pairs. In a crowded one
-    every text is paired with two others: the text that shares most with all (the original of a family of edited copies keeps the bands that its copies lose
-    one by one), and one drawn anew in each band; its other pairs are left to ``crowded_pairs``. Pairs grow with the number of texts and not with its square.
-    ``first`` marks one pair per text, that in its fullest band: these tie most of a family together. Null ids and texts without words are left out.
-    """
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).where(F.col(id_col).isNotNull())
-
-    def marks(i, t):
-        s = shingle_set(t, k)
-        return ((i, xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), band_keys(s)),) if len(s) else ()
-
-    found = stage(map_rows(rows, lambda: marks, "id long, same long, bands array<long>"), "bands")
-    heads_of_copies = found.groupBy("same").agg(F.min("id").alias("a"))
-    copies = found.select("id", "same").join(heads_of_copies, "same").where("id <> a").select("a", F.col("id").alias("b"))
-    shared = _shared_bands(found.join(heads_of_copies.select(F.col("a").alias("id"), "same"), ["id", "same"]).dropDuplicates(["id"]))
-    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    drawn = F.struct(F.xxhash64("band", "id").alias("o"), F.col("id").alias("a"))
-    central = F.struct("weight", F.xxhash64("id").alias("o"), F.col("id").alias("a"))
-    heads = shared.join(weight, "id").groupBy("band").agg(F.max(central).alias("c"), F.min(drawn).alias("d"))
-    met = shared.join(heads.select("band", F.col("c.a").alias("c"), F.col("d.a").alias("d")), "band")
-    best = met.where("id <> c").groupBy("id").agg(F.max(F.struct("n", "c")).alias("m")).select("id", F.col("m.c").alias("h"), F.lit(True).alias("first"))
-    every = met.where(F.col("n") > FEW).select("id", F.explode(F.array("c", "d")).alias("h"), F.lit(False).alias("first")).where("id <> h")
-    small = shared.where(F.col("n") <= FEW).groupBy("band").agg(F.collect_list("id").alias("all"))
-    small = small.select("all", F.explode("all").alias("id")).select("id", F.explode("all").alias("h"), F.lit(False).alias("first")).where("id < h")
-    both = best.union(every).union(small).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), "first")
-    return copies, stage(both.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates"), shared.where(F.col("n") > FEW).select("id", "band")
-
-
-def shingle_counts(texts: DataFrame, k: int = 5) -> np.ndarray:
-    """Texts per counter of shingle hashes: 2 ** COUNTER_BITS numbers, whatever the size of the table."""
-
-    def run(batches):
-        n = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                n += np.bincount((shingle_set(text.as_py(), k) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        for lo in range(0, len(at), 65536):
-            part = at[lo : lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], names=["at", "n"])
-
-    find_package(texts.sparkSession)
-    found = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    counts[found["at"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def crowded_pairs(texts: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): every pair of ``texts`` (id, g, text) of different groups ``g`` that can share ``least`` of its shingles.
-
-    Shingles are put in one order for all texts, the rarer first. Two sets that similar share a shingle among the first n - ceil(least n) + 1 of the larger and
-    the first m - ceil(2 least / (1 + least) m) + 1 of the smaller, and from the first shared one on enough of both sets must be left.
-    A shingle lists pairs between two groups only, so the texts of a family that is tied already are not paired among each other.
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    k = min(k, len(h))
+    runs = h[: len(h) - k + 1]
+    for j in range(1, k):
+        runs = mix(runs) + h[j : len(h) - k + 1 + j]
+    return np.unique(mix(runs + np.uint64(k)))
+
+
+def row_keys(id_col: str, text_col: str, names: list[str]) -> list[Column]:
+    """Two hashes of doc_id and text, together the key of a row; rows without a doc_id have keys like any other."""
+    i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.xxhash64(i, t).alias(names[0]), F.xxhash64(F.lit(1), t, i).alias(names[1])]
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(row, row2, id, group) per row of ``docs``: its key, its doc_id and a number of its group of near-duplicates.
+
+    Groups are connected by SimHash links (two bits or fewer of 64) and by texts that share ``percent`` of their k-word shingles.
     """
-    counts = shingle_counts(texts, k)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(*row_keys(id_col, text_col, ["row", "row2"]), F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
-    def prefix(i, g, text):
-        s = shingle_set(text, k)
-        n = len(s)
-        seen = counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-        order = np.lexsort((s, seen))[: n - math.ceil(least * n - 1e-6) + 1]
-        short = n - math.ceil(2 * least / (1 + least) * n - 1e-6) + 1
-        # a shingle counted once is in no other text
-        return [(i, g, n, int(s[o]) - (1 << 63), at, at < short) for at, o in enumerate(order.tolist()) if seen[o] > 1]
+    def make_marks():
+        known = WordHashes()
 
-    posts = stage(map_rows(texts.select("id", "g", "text"), lambda: prefix, "id long, g long, n int, shingle long, at int, short boolean"), "prefixes")
-    mixed = posts.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("short").alias("any")).where("lo <> hi AND any").select("shingle")
-    posts = stage(posts.join(mixed, "shingle"), "shared-prefixes")
-    held = lambda rows, out: rows.select("shingle", F.col("g").alias(out)).distinct()
-    met = held(posts.where("short"), "gy").join(held(posts, "gx"), "shingle").where("gx <> gy")
-    side = lambda rows, s: rows.select("shingle", *[F.col(c).alias(f"{c}{s}") for c in ("id", "g", "n", "at")])
-    both = met.join(side(posts.where("short"), "y"), ["shingle", "gy"]).join(side(posts, "x"), ["shingle", "gx"])
-    left = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
-    both = both.where((F.struct("ny", "idy") < F.struct("nx", "idx")) & (F.col("ny") >= least * F.col("nx") - 1e-6) & (left * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6))
-    return both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+        def marks(row, row2, doc, text):
+            s = shingle_set(text, known, k)
+            return ((row, row2, doc, simhash(text), len(s), set_id(s), registers(s).view(np.int64)) if len(s) else (row, row2, doc, simhash(text), 0, None, None),)
 
+        return marks
 
-def texts_of(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of the ends of ``pairs``, written once: the texts of ``docs`` are shuffled for it a single time."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return stage(rows.hint("merge").join(needed, "id").dropDuplicates(["id"]), "candidate-texts")
+    marks = stage(map_rows(rows, make_marks, "row long, row2 long, id long, fp long, n long, set long, regs array<long>"), "marks")
+    near = components(marks.select(F.col("row").alias("doc_id"), "fp"))
+    own = stage(spread_join(marks.select("row", "row2", "id", "fp", "set"), near, "fp").select("row", "row2", "id", "set", F.col("component_id").alias("g")), "simhash-groups")
+    classes = marks.where("set IS NOT NULL").groupBy(F.col("set").alias("id")).agg(F.min("n").alias("n"), F.min("row").alias("row"), F.min("regs").alias("regs"))
+    held = own.where("set IS NOT NULL").groupBy(F.col("set").alias("id"), "g").agg(F.lit(1).alias("one")).groupBy("id").agg(F.min("g").alias("g"), F.collect_set("g").alias("all"))
+    classes = stage(classes.join(held, "id"), "set-classes")
+    copies = classes.where(F.size("all") > 1).select(F.col("g").alias("a"), F.explode("all").alias("b")).where("a <> b")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "id").select("row")
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole texts share ``least`` of their k-word shingles."""
-    both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        def make_sets():
+            known = WordHashes()
 
-    def shared_enough(a, b, ta, tb):
-        x, y = shingle_set(ta, k), shingle_set(tb, k)
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        return ((a, b),) if shared >= least * (len(x) + len(y) - shared) else ()
+            def one(text):
+                s = shingle_set(text, known, k)
+                return ((set_id(s), s.view(np.int64)),) if len(s) else ()
 
-    return map_rows(both.select("a", "b", "ta", "tb"), lambda: shared_enough, "a long, b long")
+            return one
 
+        return map_rows(rows.select("row", "text").join(wanted, "row", "left_semi").select("text"), make_sets, "id long, s array<long>").dropDuplicates(["id"])
 
-def row_keys(id_col: str, text_col: str) -> list[Column]:
-    """Two hashes of doc_id and text, together the key of a row; rows without a doc_id have keys like any other."""
-    i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return [F.xxhash64(i, t).alias("_row"), F.xxhash64(F.lit(1), t, i).alias("_row2")]
+    found = links(band_posts(classes), sets_of, classes.select("id", "g"), percent, lambda pairs: likely(pairs, classes, percent))
+    merged = connected(copies.union(found)).select(F.col("node").alias("g"), "root")
+    return spread_join(own, merged, "g", "left").select("row", "row2", "id", F.coalesce("root", "g").alias("group"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: one row of each group stays, that with the smallest doc_id; one without a doc_id only if the group has no other.
 
-    Groups are connected by SimHash links (two bits or fewer of 64) and by pairs that share ``least`` of their k-word shingles. Candidate
-    pairs are verified in two passes; one whose ends are connected already adds nothing to the groups and is not read again. A third pass takes the
-    texts of crowded bands that still hold more than one group: all their pairs across groups pass the prefix filter, and what it leaves is verified.
-    Rows are told apart by doc_id and text: a row that repeats both is a copy, different texts under one doc_id or under none are documents of their own.
-    Null texts and texts without words are one group. Columns are those of ``docs``.
+    Groups are those of ``groups``. Rows are told apart by doc_id and text: a row that repeats both is a copy, different texts under one doc_id or
+    under none are documents of their own. Null texts and texts without words are one group. Columns are those of ``docs``, whatever their names; an
+    empty table gives an empty result.
     """
-    rows = docs.select("*", *row_keys(id_col, text_col))
-    own = stage(near_duplicates(rows, "_row", text_col).select(F.col("doc_id").alias("_row"), "component_id").distinct(), "simhash-groups")
-    named = lambda c, out: own.select(F.col("_row").alias(c), F.col("component_id").alias(out))
-    ends = lambda pairs: pairs.join(named("a", "ca"), "a").join(named("b", "cb"), "b")
-    copies, pairs, crowd = candidates(rows, "_row", text_col, k)
-    edges = stage(ends(copies).select("ca", "cb").where("ca <> cb").distinct(), "group-edges")
-    pairs = stage(ends(pairs), "candidate-ends")
-    texts = texts_of(pairs.where("ca <> cb"), rows, "_row", text_col)
-    for some in (F.col("first"), ~F.col("first")):
-        roots = connected(edges, "ca", "cb")
-        root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))  # noqa: E731, B023
-        apart = pairs.where(some).join(root("ca", "ra"), "ca", "left").join(root("cb", "rb"), "cb", "left").where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
-        new = verified(stage(apart.select("a", "b"), "apart"), texts, k, least)
-        edges = stage(edges.union(ends(new).select("ca", "cb")).distinct(), "group-edges")
-    merged = connected(edges, "ca", "cb")
-    at = crowd.join(named("id", "c"), "id").join(merged.withColumnRenamed("node", "c"), "c", "left").select("id", "band", F.coalesce("root", "c").alias("g"))
-    apart = at.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-    still = stage(at.join(apart, "band").select("id", "g").distinct(), "still-apart")
-    if not still.isEmpty():
-        body = rows.select(F.col("_row").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-        texts = stage(body.hint("merge").join(still, "id").dropDuplicates(["id"]).select("id", "g", "text"), "texts-apart")
-        new = verified(stage(crowded_pairs(texts, k, least), "crowded-pairs"), texts, k, least)
-        edges = stage(edges.union(ends(new).select("ca", "cb")).distinct(), "group-edges")
-        merged = connected(edges, "ca", "cb")
-    group = own.join(merged, F.col("component_id") == F.col("node"), "left").select("_row", F.coalesce("root", "component_id").alias("group"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "_row2")).alias("m")
-    kept = rows.select("_row", "_row2", F.col(id_col).cast("long").alias("id")).join(group, "_row").groupBy("group").agg(best).select("m._row", "m._row2")
+    found = groups(docs, id_col, text_col, k, percent)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "row2")).alias("m")
+    key = free_names(docs, "row", "row2")
+    kept = stage(found.groupBy("group").agg(best).select(F.col("m.row").alias(key[0]), F.col("m.row2").alias(key[1])), "kept")
     # one key for the join and for repeated rows, so texts are shuffled once
-    key = ["_row", "_row2"]
-    return rows.hint("merge").join(stage(kept, "kept"), key, "left_semi").dropDuplicates(key).drop(*key)
+    rows = docs.select("*", *row_keys(id_col, text_col, key))
+    return rows.hint("merge").join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
