@@ -22,12 +22,12 @@ from pitgrid.llm.common import find_package
 LONGEST = 5
 #: log2 of the bits in the table of survivors that every task reads: 16 MB, whatever the input.
 TABLE_BITS = 27
-#: Words whose n-grams are summed before they leave a task.
-BUFFER = 1 << 21
+#: Words of all languages in a task's memory at a time; their n-grams are summed before they leave it.
+BUFFER = 1 << 20
 #: Occurrences that a hash partition takes on average; its summary holds mass / threshold counters.
 PART_MASS = 1 << 24
 #: Words that a task remembers the hashes of.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 
 _BREAK = b"\xff"  # in no UTF-8 text
 # A-Z lower-cased, . , ; : ! ? and \n \v \f \r end a piece, a tab is a space
@@ -52,12 +52,13 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _runs(batches, with_words: bool):
-    """(lang, words, hashes) of texts with one language, about ``BUFFER`` words at a time; hash 0 is the end of a piece."""
+    """(lang, words, hashes) of texts with one language, ``BUFFER`` words in memory at a time (half with words); hash 0 is the end of a piece."""
     known = _Hashes({_BREAK: 0})
     held: dict[str, tuple[list, list, int]] = {}
+    total, most = 0, BUFFER // 2 if with_words else BUFFER
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = (text or b"").translate(_BYTES).replace(_BREAK, b" \xff ").split()
                 words.append(_BREAK)
@@ -66,10 +67,15 @@ def _runs(batches, with_words: bool):
                 if with_words:
                     w.append(words)
                 held[lang] = (w, h, n + len(words))
-                if n + len(words) >= BUFFER:
-                    w, h, _ = held.pop(lang)
+                total += len(words)
+                if total >= most:
+                    # the language with the most words leaves
+                    lang = max(held, key=lambda x: held[x][2])
+                    w, h, n = held.pop(lang)
+                    total -= n
                     yield lang, w, np.concatenate(h)
-    for lang, (w, h, _) in held.items():
+    while held:
+        lang, (w, h, _) = held.popitem()
         yield lang, w, np.concatenate(h)
 
 
