@@ -242,16 +242,69 @@ def price_states(daily: DataFrame) -> DataFrame:
 STATE = ("n", "rn", "rs", "rss", "bn", "ba", "bb", "bab", "bbb")
 
 
+def hidden_windows(daily: DataFrame, asks: DataFrame, lookback_days: int) -> DataFrame:
+    """(signal_date, company_id) of ``asks`` whose window holds a bar, own or the benchmark's, that was not public on the signal date.
+
+    A bar hides from its price date until it is published; it meets the asks of these months only.
+    """
+    gap = daily.where(F.to_date("effective_at") > F.col("price_date")).select("company_id", "ticker", "price_date", F.to_date("effective_at").alias("public"))
+    months = F.explode(F.sequence(F.trunc("price_date", "month"), F.trunc(F.date_sub("public", 1), "month"), F.expr("INTERVAL 1 MONTH")))
+    gap = gap.withColumn("month", months)
+    hides = (F.col("price_date") <= F.col("signal_date")) & (F.col("public") > F.col("signal_date")) & (F.col("price_date") >= F.date_sub("signal_date", lookback_days))
+    asked = asks.withColumn("month", F.trunc("signal_date", "month"))
+    own = asked.join(gap.drop("ticker"), ["company_id", "month"]).where(hides).select("signal_date", "company_id")
+    days = asked.select("signal_date", "month").distinct().join(gap.where(F.col("ticker") == BENCHMARK_TICKER), "month").where(hides).select("signal_date").distinct()
+    return own.union(asks.join(days, "signal_date").select("signal_date", "company_id")).distinct()
+
+
+def recomputed_features(daily: DataFrame, asks: DataFrame, lookback_days: int) -> DataFrame:
+    """F10 to F12 from the bars of each window of ``asks`` that were public on its signal date."""
+    month = F.explode(F.sequence(F.trunc(F.date_sub("signal_date", lookback_days), "month"), F.trunc("signal_date", "month"), F.expr("INTERVAL 1 MONTH")))
+    seen = (F.col("price_date") >= F.date_sub("signal_date", lookback_days)) & (F.col("price_date") <= F.col("signal_date")) & (F.to_date("effective_at") <= F.col("signal_date"))
+    bars = daily.withColumn("month", F.trunc("price_date", "month"))
+    prev = F.lag("adjusted_close").over(W.partitionBy("signal_date", "company_id").orderBy("price_date"))
+    ret = F.when(prev != 0, F.col("adjusted_close") / prev - 1)
+    held = ["signal_date", "company_id", "price_date", "adjusted_close"]
+    own = asks.withColumn("month", month).join(bars.where(F.col("ticker") != BENCHMARK_TICKER), ["company_id", "month"]).where(seen).select(*held).withColumn("ret", ret)
+    own = own.withColumn("back", F.row_number().over(W.partitionBy("signal_date", "company_id").orderBy(F.desc("price_date"))))
+    spy = asks.select("signal_date").distinct().withColumn("month", month).join(bars.where(F.col("ticker") == BENCHMARK_TICKER), "month").where(seen).select(*held)
+    spy = spy.withColumn("bench", ret).select("signal_date", "price_date", "bench")
+    close = lambda k: F.max(F.when(F.col("back") == k, F.col("adjusted_close")))
+    pair = F.col("ret").isNotNull() & F.col("bench").isNotNull()
+    a, b = F.when(pair, F.col("ret")), F.when(pair, F.col("bench"))
+    g = own.join(spy, ["signal_date", "price_date"], "left").groupBy("signal_date", "company_id").agg(
+        close(22).alias("c21"), close(127).alias("c126"), close(253).alias("c252"), F.count("ret").alias("rn"),
+        F.stddev_pop(F.when(F.col("back") <= RISK_WINDOW, F.col("ret"))).alias("sd"), F.count(a).alias("bn"), F.covar_pop(a, b).alias("cov"), F.var_pop(b).alias("bvar"),
+    )
+    ratio = lambda c: F.when(F.col(c) > 0, F.col("c21") / F.col(c) - 1)
+    return g.select(
+        "signal_date", "company_id", ratio("c252").alias("momentum_12_1"), ratio("c126").alias("momentum_6_1"),
+        F.when(F.col("rn") >= MIN_RISK_RETURNS, F.col("sd") * F.sqrt(F.lit(252.0))).alias("volatility_252d"),
+        F.when((F.col("bn") >= MIN_RISK_RETURNS) & (F.col("bvar") > 1e-18), F.col("cov") / F.col("bvar")).alias("beta_252d"),
+    )
+
+
 def market_features(prices: DataFrame, members: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """F10 momentum, F11 volatility and F12 beta for every (signal_date, company_id) of ``members``."""
+    """F10 momentum, F11 volatility and F12 beta for every (signal_date, company_id) of ``members``.
+
+    A bar counts from the day it was published (``effective_at``), not from its price date. Where all bars of a window were public, the statistics are
+    differences of running sums; the few windows with a bar still hidden on their signal date are computed from their own bars.
+    """
     daily = price_precedence(prices)
-    states = price_states(daily)
     asks = members.select("signal_date", "company_id").distinct()
+    hidden = stage(hidden_windows(daily, asks, lookback_days), "hidden-windows")
+    plain = summed_features(daily, asks.join(hidden, ["signal_date", "company_id"], "left_anti"), lookback_days)
+    return plain.unionByName(recomputed_features(daily, hidden, lookback_days))
+
+
+def summed_features(daily: DataFrame, asks: DataFrame, lookback_days: int) -> DataFrame:
+    """F10 to F12 for windows all of whose bars are public, from running sums."""
+    states = price_states(daily)
     # first benchmark day inside each window: its return belongs to the day before the window
     spy_days = daily.where(F.col("ticker") == BENCHMARK_TICKER).select(
         F.lit(1).alias("_k"), F.col("price_date").alias("spy_day"), F.lead("price_date").over(W.partitionBy(F.lit(1)).orderBy("price_date")).alias("spy_next")
     )
-    starts = members.select("signal_date").distinct().withColumn("_k", F.lit(1)).withColumn("_start", F.date_sub("signal_date", lookback_days))
+    starts = asks.select("signal_date").distinct().withColumn("_k", F.lit(1)).withColumn("_start", F.date_sub("signal_date", lookback_days))
     starts = asof_join(starts, spy_days, ["_k"], "_start", "spy_day", ["spy_day", "spy_next"], strict=True)
     first_day = daily.where(F.col("ticker") == BENCHMARK_TICKER).agg(F.min("price_date")).scalar()
     starts = starts.select("signal_date", "_start", F.coalesce("spy_next", F.when(F.col("spy_day").isNull(), first_day)).alias("spy_first"))

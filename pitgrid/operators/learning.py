@@ -1,29 +1,39 @@
-"""Walk-forward models on Spark ML: one regression and one boosted-tree score per month."""
+"""Walk-forward models: one elastic net and one boosted-tree score per month.
+
+All training sets are the panel before some date. Elastic nets need sums of products only: these are taken once per month, and a prefix of months
+gives every training set its covariances. Trees are fitted in parallel, one task per training set and setting, on ``MAX_TRAIN_ROWS`` rows at most.
+The driver holds medians, sums and models, whose number and size depend on months, features and settings and not on rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitgrid.functions.groups import quantiles, with_average_ranks
 from pitgrid.functions.staging import stage
+from pitgrid.operators.boosting import boost, boosted_scores
+from pitgrid.session import importable
 
 # Window rules and search grids.
 MIN_MONTHS = 24
 MIN_ROWS = 100
 VALIDATION_MONTHS = 6
 ELASTIC_GRID = tuple(product((0.001, 0.01, 0.1), (0.1, 0.5, 0.9)))
-TREE_GRID = tuple(product((0.03, 0.08), (3, 4)))  # step size, depth in place of 7 and 15 leaves
+TREE_GRID = tuple(product((0.03, 0.08), (7, 15)))  # learning rate, leaves
 DEFAULT_ELASTIC = (0.01, 0.5)
-DEFAULT_TREE = (0.05, 4)
+DEFAULT_TREE = (0.05, 15)
 ROUNDS = 150
-SEED = 7
+TREE_L2 = 0.1
 TARGET = "next_month_excess_return"
+#: Rows that a tree model is fitted on; a larger training set is thinned to it by a hash of its rows.
+MAX_TRAIN_ROWS = 1_000_000
 
 
 class LookAheadError(ValueError):
@@ -82,79 +92,242 @@ def training_stats(train: DataFrame, features: Sequence[str]) -> DataFrame:
     return s.agg(*[F.max(F.when(F.col("f") == f, F.col(c))).alias(f"_{c}_{f}") for f in features for c in ("med", "mean", "sd")])
 
 
-def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
+@dataclass(frozen=True)
+class TrainingSet:
+    """What is known of the labelled rows before ``end``; x is a feature filled with its median."""
+
+    end: datetime.date
+    rows: int
+    medians: np.ndarray
+    seen: np.ndarray  # features with any value
+    means: np.ndarray
+    deviations: np.ndarray  # 1 for a constant
+    correlations: np.ndarray
+    with_target: np.ndarray  # covariance of the scaled features with the target
+    target_mean: float
+    target_deviation: float
+
+
+def training_sets(panel: DataFrame, ends: Sequence[datetime.date], features: Sequence[str], target: str = TARGET) -> dict[datetime.date, TrainingSet]:
+    """Statistics of the labelled rows before each date of ``ends``.
+
+    The panel is read twice: once for sums of products per month, of values and of gaps (so that any median can be filled in
+    afterwards), once for the medians of all prefixes.
+    """
+    features, ends = list(features), sorted(set(ends))
+    k = len(features)
+    known = panel.where(F.col(target).isNotNull())
+    parts = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features] + [F.col(f).isNull().cast("double") for f in features]
+    parts += [F.col(target).cast("double"), F.lit(1.0)]
+    named = known.select("signal_date", *[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    pairs = [(i, j) for i in range(len(parts)) for j in range(i + 1)]
+    sums = named.groupBy("signal_date").agg(*[F.sum(F.col(f"p{i}") * F.col(f"p{j}")).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # one row per month
+    long = known.select("signal_date", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["signal_date"], features, "f", "v")
+    later = F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e > F.col("signal_date"))
+    med = quantiles(long.where("v IS NOT NULL").select("f", "v", F.explode(later).alias("end")), ["end", "f"], "v", {"med": 0.5}).collect()
+    medians = {(r["end"], r["f"]): r["med"] for r in med}
+    out = {}
+    for end in ends:
+        s = np.zeros((len(parts), len(parts)))
+        for r in sums:
+            if r["signal_date"] < end:
+                for i, j in pairs:
+                    s[i, j] += r[f"s{i}_{j}"]
+        s = s + np.tril(s, -1).T
+        m = np.array([medians.get((end, f), np.nan) for f in features])
+        seen = ~np.isnan(m)
+        fill = np.zeros((k + 2, len(parts)))
+        fill[:k, :k], fill[:k, k : 2 * k], fill[k:, 2 * k :] = np.eye(k), np.diag(np.nan_to_num(m)), np.eye(2)
+        s = fill @ s @ fill.T
+        n = s[-1, -1]
+        mean = s[:-1, -1] / max(n, 1)
+        cov = s[:-1, :-1] / max(n, 1) - np.outer(mean, mean)
+        var = np.diag(cov)
+        sd = np.where(var > 1e-18, np.sqrt(np.maximum(var, 0)), 1.0)
+        scaled = np.where(np.outer(var > 1e-18, var > 1e-18), cov / np.outer(sd, sd), 0.0)
+        out[end] = TrainingSet(end, int(n), np.nan_to_num(m), seen, mean[:k], sd[:k], scaled[:k, :k], scaled[:k, k] * sd[k], mean[k], sd[k])
+    return out
+
 
+def elastic_weights(t: TrainingSet, params: tuple[float, float], features: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Weights of the scaled features that minimize half the mean squared error of the target (divided by ``scale``) plus alpha times the mixed norm.
 
-def elastic(params: tuple[float, float], label: str) -> LinearRegression:
+    Features outside the mask ``features`` keep weight 0. Coordinate descent until no weight moves.
+    """
     alpha, ratio = params
-    return LinearRegression(labelCol=label, regParam=alpha, elasticNetParam=ratio, maxIter=200, standardization=False)
+    w = np.zeros(len(features))
+    c = t.with_target / scale
+    for _ in range(5000):
+        moved = 0.0
+        for j in np.flatnonzero(features):
+            rest = c[j] - t.correlations[j] @ w + t.correlations[j, j] * w[j]
+            new = np.sign(rest) * max(abs(rest) - alpha * ratio, 0.0) / (t.correlations[j, j] + alpha * (1 - ratio))
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-13:
+            break
+    return w
+
+
+def linear_scores(t: TrainingSet, weights: np.ndarray, x: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    return t.target_mean + scale * (((x - t.means) / t.deviations) @ weights)
+
 
+def fit_trees(panel: DataFrame, fits: Sequence[tuple], sets: dict, masks: dict, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, max_rows: int = MAX_TRAIN_ROWS) -> dict[tuple, bytes]:
+    """Model per fit (end, rate, leaves), each fitted in a task of its own on the labelled rows before its end, gaps filled with the medians.
+
+    ``masks`` has the usable features per end. A set of more than ``max_rows`` rows is thinned by a hash of date and company.
+    """
+    fits, features = list(fits), list(features)
+    if not fits:
+        return {}
+    part = F.pmod(F.xxhash64("signal_date", "company_id"), F.lit(1 << 20)) / float(1 << 20)
+    jobs = F.array(*[F.struct(F.lit(i).alias("fit"), F.lit(e).alias("end"), F.lit(max_rows / max(sets[e].rows, 1)).alias("share")) for i, (e, _, _) in enumerate(fits)])
+    wanted = F.filter(jobs, lambda j: (j["end"] > F.col("signal_date")) & (part < j["share"]))
+    rows = panel.where(F.col(target).isNotNull()).withColumn("_fit", F.explode(wanted))
+    rows = rows.select(F.col("_fit.fit").alias("fit"), *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"), "signal_date", "company_id")
+    medians, usable = {e: sets[e].medians for e, _, _ in fits}, {e: np.flatnonzero(masks[e]) for e, _, _ in fits}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        end, rate, leaves = fits[key[0]]
+        rows = rows.sort_values(["signal_date", "company_id", "_y"])  # one order, whatever the shuffle
+        x = filled(rows, features, medians[end])[:, usable[end]]
+        return pd.DataFrame({"fit": [key[0]], "model": [boost(x, rows["_y"].to_numpy(), rate, leaves, rounds, TREE_L2)]})
+
+    importable(panel.sparkSession)
+    # a fixed number of partitions, so that small sets are not fitted one after another in one task
+    found = rows.repartition(4 * len(fits), "fit").groupBy("fit").applyInPandas(run, "fit int, model binary").collect()  # months x settings models
+    return {fits[r["fit"]]: bytes(r["model"]) for r in found}
+
+
+def filled(rows: pd.DataFrame, features: Sequence[str], medians: np.ndarray) -> np.ndarray:
+    x = rows[list(features)].to_numpy(dtype=np.float64)
+    return np.where(np.isnan(x), medians, x)
 
-def trees(params: tuple[float, int], label: str, rounds: int) -> GBTRegressor:
-    step, depth = params
-    return GBTRegressor(labelCol=label, stepSize=step, maxDepth=depth, maxIter=rounds, seed=SEED)
 
+@dataclass(frozen=True)
+class Selection:
+    """Settings chosen for a year and the features that its core months know; errors by setting, empty where history was too short."""
 
-def grid_mae(core: DataFrame, validation: DataFrame, models: dict) -> dict:
-    """Mean absolute error of each candidate on the validation months."""
-    mae = RegressionEvaluator(labelCol="label", metricName="mae")
-    return {p: mae.evaluate(m.fit(core).transform(validation)) for p, m in models.items()}
+    elastic: tuple[float, float]
+    tree: tuple[float, int]
+    features: np.ndarray
+    elastic_errors: dict
+    tree_errors: dict
 
 
-def select_params(train: DataFrame, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, tree_grid=TREE_GRID):
-    """Best grid points by error on the last 6 training months; defaults when too short."""
-    months = [r[0] for r in train.select("signal_date").distinct().orderBy(F.col("signal_date").desc()).limit(VALIDATION_MONTHS + 1).collect()]
-    if len(months) <= VALIDATION_MONTHS:
-        return DEFAULT_ELASTIC, DEFAULT_TREE
-    first = months[VALIDATION_MONTHS - 1]
-    core, val = train.where(F.col("signal_date") < first), train.where(F.col("signal_date") >= first)
-    fit = lambda rows: vectors(impute_scale(core, rows, features), features).select("features", F.col(target).alias("label"))
-    c, v = stage(fit(core), "core"), stage(fit(val), "validation")
-    e = grid_mae(c, v, {p: elastic(p, "label") for p in ELASTIC_GRID})
-    g = grid_mae(c, v, {p: trees(p, "label", rounds) for p in tree_grid})
-    return min(e, key=e.get), min(g, key=g.get)
+def validation_start(months: Sequence[datetime.date]) -> datetime.date | None:
+    """First of the last ``VALIDATION_MONTHS`` training months; None if there are no others."""
+    return sorted(months)[-VALIDATION_MONTHS] if len(months) > VALIDATION_MONTHS else None
 
 
-def standardized_target(train: DataFrame, target: str) -> DataFrame:
-    """The final linear fit uses a population-standardized target."""
-    m, s = train.agg(F.avg(target)).scalar(), train.agg(F.stddev_pop(target)).scalar()
-    return train.withColumn("label", (F.col(target) - m) / F.when(s > 0, s).otherwise(1.0))
+def select_params(panel: DataFrame, ends: Sequence[datetime.date], features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, tree_grid=TREE_GRID, elastic_grid=ELASTIC_GRID) -> dict[datetime.date, Selection]:
+    """For the training rows before each of ``ends``, the settings with the least mean absolute error on their last six months.
 
+    Medians, scales and models come from the months before those only. All dates and settings are fitted side by side.
+    """
+    features = list(features)
+    dates = [r[0] for r in panel.where(F.col(target).isNotNull()).select("signal_date").distinct().collect()]  # one per month
+    first = {end: validation_start([d for d in dates if d < end]) for end in ends}
+    cores = sorted({c for c in first.values() if c is not None})
+    sets = training_sets(panel, [*cores, *ends], features, target)
+    seen = {c: sets[c].seen for c in cores}
+    trees = fit_trees(panel, [(c, *p) for c in cores if seen[c].any() for p in tree_grid], sets, seen, features, target, rounds)
+    linear = {(c, *p): elastic_weights(sets[c], p, seen[c]) for c in cores for p in elastic_grid}
+    spans = [(c, end) for end, c in first.items() if c is not None]
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for core, end in spans:
+                some = rows[(rows["signal_date"] >= core) & (rows["signal_date"] < end)]
+                if len(some):
+                    x, y = filled(some, features, sets[core].medians), some["_y"].to_numpy()
+                    for p in elastic_grid:
+                        out.append((end, "elastic", *map(float, p), float(np.abs(linear_scores(sets[core], linear[core, *p], x) - y).sum()), len(y)))
+                    for p in tree_grid:
+                        if (core, *p) in trees:
+                            out.append((end, "tree", *map(float, p), float(np.abs(boosted_scores(trees[core, *p], x[:, seen[core]]) - y).sum()), len(y)))
+            yield pd.DataFrame(out, columns=["end", "kind", "a", "b", "error", "n"])
+
+    rows = panel.where(F.col(target).isNotNull()).select("signal_date", *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
+    importable(panel.sparkSession)
+    found = rows.mapInPandas(errors, "end date, kind string, a double, b double, error double, n long").groupBy("end", "kind", "a", "b").agg((F.sum("error") / F.sum("n")).alias("mae")).collect()
+    mae = {(r["end"], r["kind"], r["a"], r["b"]): r["mae"] for r in found}
+    out = {}
+    for end, core in first.items():
+        if core is None or not seen[core].any():
+            out[end] = Selection(DEFAULT_ELASTIC, DEFAULT_TREE, sets[end].seen if core is None else seen[core], {}, {})
+            continue
+        e = {p: mae[end, "elastic", *map(float, p)] for p in elastic_grid}
+        t = {p: mae[end, "tree", *map(float, p)] for p in tree_grid}
+        out[end] = Selection(min(e, key=e.get, default=DEFAULT_ELASTIC), min(t, key=t.get, default=DEFAULT_TREE), seen[core], e, t)
+    return out
 
-def predict_month(train: DataFrame, current: DataFrame, features: Sequence[str], params, target: str = TARGET, rounds: int = ROUNDS) -> DataFrame:
-    """Fit both models on the training rows and score one prediction month."""
-    check_no_look_ahead(train, current)
-    t = stage(vectors(impute_scale(train, train, features), features).select("features", target), "train")
-    now = vectors(impute_scale(train, current.select("signal_date", "company_id", *features), features), features).select("signal_date", "company_id", "features")
-    lin = elastic(params[0], "label").fit(standardized_target(t, target))
-    gbt = trees(params[1], "label", rounds).fit(t.withColumnRenamed(target, "label"))
-    scored = lin.setPredictionCol("elastic_score").transform(now)
-    return gbt.setPredictionCol("tree_score").transform(scored).drop("features")
+
+def tree_scores(panel: DataFrame, end: datetime.date, chosen: Selection, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS) -> DataFrame:
+    """(signal_date, company_id, tree_score): all rows of the panel, scored by the trees of the labelled rows before ``end``."""
+    features = list(features)
+    known = training_sets(panel, [end], features, target)[end]
+    usable = chosen.features & known.seen
+    model = fit_trees(panel, [(end, *chosen.tree)], {end: known}, {end: usable}, features, target, rounds)[end, *chosen.tree]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = filled(rows, features, known.medians)[:, usable]
+            yield pd.DataFrame({"signal_date": rows["signal_date"], "company_id": rows["company_id"], "tree_score": boosted_scores(model, x)})
+
+    importable(panel.sparkSession)
+    rows = panel.select("signal_date", "company_id", *[F.col(f).cast("double").alias(f) for f in features])
+    return rows.mapInPandas(run, f"signal_date date, company_id {panel.schema['company_id'].dataType.simpleString()}, tree_score double")
+
+
+def predict(panel: DataFrame, asks: dict[datetime.date, Selection], features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS) -> DataFrame:
+    """(signal_date, company_id, elastic_score, tree_score): the rows of each date of ``asks``, by models of the labelled rows before it."""
+    features = list(features)
+    sets = training_sets(panel, list(asks), features, target) if asks else {}
+    masks = {end: s.features & sets[end].seen for end, s in asks.items()}
+    trees = fit_trees(panel, [(end, *s.tree) for end, s in asks.items() if masks[end].any()], sets, masks, features, target, rounds)
+    # the linear model sees a standardized target
+    scale = {end: sets[end].target_deviation for end in asks}
+    linear = {end: elastic_weights(sets[end], s.elastic, masks[end], scale[end]) for end, s in asks.items()}
+    chosen = {end: s.tree for end, s in asks.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for end, some in rows.groupby("signal_date"):
+                x = filled(some, features, sets[end].medians)
+                e = linear_scores(sets[end], linear[end], x, scale[end]) if masks[end].any() else np.zeros(len(x))
+                t = boosted_scores(trees[end, *chosen[end]], x[:, masks[end]]) if masks[end].any() else np.zeros(len(x))
+                yield pd.DataFrame({"signal_date": end, "company_id": some["company_id"], "elastic_score": e, "tree_score": t})
+
+    rows = panel.where(F.col("signal_date").isin(list(asks))) if asks else panel.limit(0)
+    importable(panel.sparkSession)
+    rows = rows.select("signal_date", "company_id", *[F.col(f).cast("double").alias(f) for f in features])
+    return rows.mapInPandas(run, f"signal_date date, company_id {panel.schema['company_id'].dataType.simpleString()}, elastic_score double, tree_score double")
 
 
 def walk_forward(panel: DataFrame, months: Sequence, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, tree_grid=TREE_GRID) -> DataFrame:
-    """M01 to M05 for a list of prediction months: parameters chosen once a year, weights refit each month.
+    """M01 to M05 for a list of prediction months: settings chosen once a year, at its first fitted month, weights refit each month.
 
     A month with too little history is not fitted: its scores are 0 and ``fitted`` is false (``rank_blend`` then
-    takes the factor rank alone). The loop runs over months only; every fit is a distributed job on staged rows.
+    takes the factor rank alone). All months and settings are fitted side by side; the number of jobs does not grow with the months.
     """
-    chosen, out = {}, None
-    asked = panel.sparkSession.createDataFrame([(m,) for m in sorted(months)], "signal_date date")
+    months = sorted(months)
+    keep = ["signal_date", "company_id", *features, target]
+    panel = stage(panel.select(*dict.fromkeys(keep)), "panel")
+    asked = panel.sparkSession.createDataFrame([(m,) for m in months], "signal_date date")
     every = panel.select("signal_date").distinct().unionByName(asked).distinct()
     gate = {r["signal_date"]: r["fits"] for r in walk_forward_split(panel, every, target).collect()}  # one row per month
-    for month in sorted(months):
-        train = panel.where((F.col("signal_date") < F.lit(month)) & F.col(target).isNotNull())
-        current = panel.where(F.col("signal_date") == F.lit(month))
-        if not gate[month]:
-            one = current.select("signal_date", "company_id", F.lit(0.0).alias("elastic_score"), F.lit(0.0).alias("tree_score"), F.lit(False).alias("fitted"))
-            out = one if out is None else out.unionByName(one)
-            continue
-        if month.year not in chosen:
-            chosen[month.year] = select_params(train, features, target, rounds, tree_grid)
-        one = stage(predict_month(train, current, features, chosen[month.year], target, rounds).withColumn("fitted", F.lit(True)), "predicted")
-        out = one if out is None else out.unionByName(one)
-    return out
+    fitted = [m for m in months if gate[m]]
+    firsts = {}
+    for m in fitted:
+        firsts.setdefault(m.year, m)
+    chosen = select_params(panel, list(firsts.values()), features, target, rounds, tree_grid) if fitted else {}
+    asks = {m: chosen[firsts[m.year]] for m in fitted}
+    scored = predict(panel, asks, features, target, rounds).withColumn("fitted", F.lit(True))
+    short = [m for m in months if not gate[m]]
+    rest = panel.where(F.col("signal_date").isin(short)) if short else panel.limit(0)
+    return scored.unionByName(rest.select("signal_date", "company_id", F.lit(0.0).alias("elastic_score"), F.lit(0.0).alias("tree_score"), F.lit(False).alias("fitted")))
 
 
 def rank_blend(scored: DataFrame, has_history: Column | None = None) -> DataFrame:

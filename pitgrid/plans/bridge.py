@@ -80,11 +80,15 @@ def view_sql(d: Dialect) -> dict[str, str]:
         SELECT company_id, concat('N', company_id), DATE '1998-01-01', {stop} FROM company WHERE k % 10 = 3
       ) m"""
 
+    # every 11th bar of every 6th company is published 20 days late, the benchmark's of the 27th of each quarter's second month 10 days
+    late = "CASE WHEN CAST(company_id AS BIGINT) % 6 = 2 AND day(price_date) % 11 = 5 THEN 20 ELSE 0 END"
+    spy_late = "CASE WHEN day(price_date) = 27 AND month(price_date) % 3 = 2 THEN 10 ELSE 0 END"
+
     def prices(px: str) -> str:
         key = f"{d.row}(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
         return f"""
       SELECT company_id, ticker, price_date, open, high, low, close, close AS adjusted_close, volume, source,
-             {d.stamp('price_date', '23:00:00')} AS effective_at, price_date AS as_of_date, source_file_id,
+             {d.stamp(f'price_date + {late}', '23:00:00')} AS effective_at, price_date AS as_of_date, source_file_id,
              CAST('2001-12-31 00:00:00' AS {d.ts}) AS ingested_at
       FROM (
         SELECT CAST(l_suppkey AS STRING) AS company_id, concat('T', CAST(l_suppkey AS STRING)) AS ticker,
@@ -100,7 +104,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
       SELECT * FROM company_prices
       UNION ALL
       SELECT 'BENCHMARK:SPY', 'SPY', price_date, avg(open), avg(high), avg(low), avg(close), avg(close), sum(volume),
-             'yahoo_adjusted', {d.stamp('price_date', '23:00:00')}, price_date, 'src_spy',
+             'yahoo_adjusted', {d.stamp(f'price_date + {spy_late}', '23:00:00')}, price_date, 'src_spy',
              CAST('2001-12-31 00:00:00' AS {d.ts})
       FROM company_prices GROUP BY price_date"""
     v["raw_prices"] = prices("(l_extendedprice / l_quantity)")

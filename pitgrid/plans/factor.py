@@ -179,17 +179,14 @@ def f09(t):
     return factors.factor_score(t.factor_panel.drop("factor_score"))
 
 
-step("asset_ret", """
-  SELECT company_id, ticker, price_date, adjusted_close, adjusted_close / lag(adjusted_close) OVER (PARTITION BY company_id ORDER BY price_date) - 1 AS ret
-  FROM prices_best""")
-step("window_rows", f"""
-  SELECT u.signal_date, p.company_id, p.price_date, p.adjusted_close, row_number() OVER w AS back, count(*) OVER (PARTITION BY u.signal_date, p.company_id) AS n,
-         CASE WHEN row_number() OVER (PARTITION BY u.signal_date, p.company_id ORDER BY p.price_date) > 1 THEN p.ret END AS ret
-  FROM universe u JOIN asset_ret p ON p.company_id = u.company_id AND p.price_date BETWEEN u.signal_date - {LOOKBACK} AND u.signal_date
-  WINDOW w AS (PARTITION BY u.signal_date, p.company_id ORDER BY p.price_date DESC)""")
-step("spy_rows", f"""
-  SELECT s.signal_date, p.price_date, CASE WHEN row_number() OVER (PARTITION BY s.signal_date ORDER BY p.price_date) > 1 THEN p.ret END AS ret
-  FROM signals s JOIN asset_ret p ON p.ticker = 'SPY' AND p.price_date BETWEEN s.signal_date - {LOOKBACK} AND s.signal_date""")
+# a bar counts from the day it was published
+step("asset_rows", f"""
+  SELECT s.signal_date, p.company_id, p.ticker, p.price_date, p.adjusted_close, p.adjusted_close / lag(p.adjusted_close) OVER w - 1 AS ret,
+         row_number() OVER (PARTITION BY s.signal_date, p.company_id ORDER BY p.price_date DESC) AS back, count(*) OVER (PARTITION BY s.signal_date, p.company_id) AS n
+  FROM signals s JOIN prices_best p ON p.price_date BETWEEN s.signal_date - {LOOKBACK} AND s.signal_date AND p.effective_at < s.signal_date + INTERVAL 1 DAY
+  WINDOW w AS (PARTITION BY s.signal_date, p.company_id ORDER BY p.price_date)""")
+step("window_rows", "SELECT a.* FROM asset_rows a JOIN (SELECT DISTINCT signal_date, company_id FROM universe) u ON u.signal_date = a.signal_date AND u.company_id = a.company_id")
+step("spy_rows", "SELECT signal_date, price_date, ret FROM asset_rows WHERE ticker = 'SPY'")
 step("market", """
   SELECT a.*, CASE WHEN b.n >= 40 AND b.bvar > 0 THEN b.cov / b.bvar END AS beta_252d FROM (
     SELECT signal_date, company_id,

@@ -243,3 +243,44 @@ def test_staging_uses_the_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_folder(Session())
+
+
+def _bars(late, days=330, seed=2):
+    """Daily bars of two companies and the benchmark; ``late`` maps (company, number of the day) to days of delay."""
+    import math
+    out = []
+    for c, ticker in (("1", "T1"), ("2", "T2"), ("BENCHMARK:SPY", "SPY")):
+        px = 100.0
+        for i in range(days):
+            px *= 1 + 0.01 * math.sin(i * (1.3 + len(c)) + seed) + 0.001 * (i % 5)
+            d = D("2023-01-02") + timedelta(days=i)
+            out.append((c, ticker, d, px, "yahoo_adjusted", d + timedelta(days=late.get((c, i), 0)), d, "f"))
+    return out
+
+
+def _market(spark, bars, asks):
+    df = spark.createDataFrame(bars, "company_id string, ticker string, price_date date, adjusted_close double, source string, effective_at date, as_of_date date, source_file_id string")
+    df = df.withColumn("effective_at", F.col("effective_at").cast("timestamp_ntz")).withColumn("ingested_at", F.lit("2024-12-31").cast("timestamp_ntz"))
+    members = spark.createDataFrame(asks, "signal_date date, company_id string")
+    return {(r.signal_date, r.company_id): tuple(r)[2:] for r in factors.market_features(df, members).collect()}
+
+
+def test_bars_published_later_change_nothing_before(spark):
+    """A statistic on a date equals that of a table without the bars that were not public then; once public, a late bar counts like any other."""
+    import statistics
+    late = {("1", 100): 250, ("1", 290): 20, ("2", 300): 3, ("BENCHMARK:SPY", 280): 15}
+    days = [D("2023-01-02") + timedelta(days=i) for i in (295, 301, 305, 325)]
+    asks = [(d, c) for d in days for c in ("1", "2")]
+    bars = _bars(late)
+    got = _market(spark, bars, asks)
+    assert len(got) == len(asks)
+    for d, c in asks:
+        public = [b[:5] + (b[6],) + b[6:] for b in bars if b[5] <= d]
+        want = _market(spark, public, [(d, c)])[d, c]
+        assert got[d, c] == pytest.approx(want, rel=1e-9)
+        seen = [b[3] for b in public if b[0] == c and b[2] <= d]
+        rets = [y / x - 1 for x, y in zip(seen, seen[1:])]
+        assert got[d, c][:3] == pytest.approx((seen[-22] / seen[-253] - 1, seen[-22] / seen[-127] - 1, statistics.pstdev(rets[-252:]) * 252**0.5), rel=1e-9)
+    on_time = _market(spark, _bars({}), asks)
+    assert got[days[0], "1"] != pytest.approx(on_time[days[0], "1"], rel=1e-9)
+    assert got[days[2], "2"] == pytest.approx(on_time[days[2], "2"], rel=1e-9) and got[days[3], "1"][2] != pytest.approx(on_time[days[3], "1"][2], rel=1e-9)

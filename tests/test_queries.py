@@ -14,7 +14,7 @@ from pitgrid.plans.registry import oracle_text, runnable  # noqa: E402
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "P01_latest_asof_facts", "P03_universe_asof", "P10_vintage_asof", "P13_membership_intervals", "P19_lessons_asof", "I17_reject_null_required", "F07_sector_neutral_zscore",
-    "F12_beta_252d", "F18_operational_rank", "T02_fill_price_gaps", "T06_rsi", "T13_holding_outcome", "M02_impute_scale", "B02_forward_returns", "B07_quantile_returns",
+    "F12_beta_252d", "F18_operational_rank", "T02_fill_price_gaps", "T06_rsi", "T13_holding_outcome", "M02_impute_scale", "M03_elastic_net_grid", "M05_scored_months", "B02_forward_returns", "B07_quantile_returns",
     "B13_portfolio_risk", "R01_research_candidates", "R07_allocate_turnover_budget", "Q02_snapshot_coverage", "X12_extract_rating", "S06_upsert_by_key", "ST4_stream_latest_bar",
 )
 
@@ -34,7 +34,7 @@ def test_every_query_has_columns_and_most_have_sql():
     known = all_queries()
     assert len(known) >= 182
     without = {n for n, q in known.items() if oracle_text(q) is None}
-    assert without == {"B12_capped_score_weights", "M03_elastic_net_grid", "M04_gbt_grid", "M05_annual_model_selection"}
+    assert without == {"B12_capped_score_weights", "M04_gbt_grid", "M05_annual_model_selection"}
 
 
 @pytest.mark.parametrize("name", ["P01_latest_asof_facts", "F07_sector_neutral_zscore", "T05_macd", "R03_bearish_screen", "X03_strip_html"])
