@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,17 +24,26 @@ from pitgrid.llm.common import find_package
 
 CAPACITY = 2048
 END_ID = 1
-_CACHE_WORDS = 600_000
+#: Words of a generation of the memory; two generations are held.
+_CACHE_WORDS = 500_000
 #: White space of the tokenizer: what str.split() parts at, less U+001C to U+001F, which are tokens.
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NO_SPACES = "\x1c\x1d\x1e\x1f"
+#: Words that the tokenizer's normalizers leave as they are and that its pre-tokenizer cuts into runs of letters and of signs: Latin-1's
+#: small letters and ASCII signs without the apostrophe, which begins suffixes of its own.
+_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff!-&(-/:-@\[-`{-~]+")
+_PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[!-&(-/:-@\[-`{-~]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Character that the vocabulary has for a byte: its own if that prints, else the next one from 256 on.
+_BYTE_CHARS = dict(zip([*_PRINTED, *(b for b in range(256) if b not in _PRINTED)], [*_PRINTED, *range(256, 512)], strict=False))
 
 
 class WordTokens:
     """Token ids of texts, word by word.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's ids are those of its words one
-    after the other; words seen before come from a bounded memory. A-Z are lower-cased first, as the tokenizer does itself.
+    after the other. A-Z are lower-cased first, as the tokenizer does itself. Words are remembered in two generations: one that is
+    met again moves to the younger, and when that is full it becomes the older and the older is dropped, so common words stay.
     """
 
     def __init__(self, path: str):
@@ -43,25 +53,41 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # strings of special tokens in a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}  # the younger generation
+        self.older: dict[str, bytes] = {}
         mark = self.tokenizer.encode("~", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        got = self.known.get(piece) or self.older.get(piece)
+        if got is None:
+            chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            got = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        return got
+
     def learn(self, words: set[str]) -> None:
-        """Words that end in a comma or full stop after a letter share the ids of the word before it."""
-        known = self.known
-        if len(known) + len(words) > _CACHE_WORDS:
-            known.clear()
-        ends = {c: self._one(c) for c in ",."}
-        pointed = [w for w in words if len(w) > 1 and w[-1] in ends and "a" <= w[-2] <= "z"]
-        plain = [w for w in words.difference(pointed).union(w[:-1] for w in pointed) if w not in known]
-        marked = [w for w in plain if self.mark is None or "~" in w or "\x00" in w]
-        simple = [w for w in plain if "~" not in w and "\x00" not in w] if self.mark is not None else []
-        for w in marked:
+        """Ids of new words. Plain ones go to the vocabulary's model piece by piece, all others through the whole tokenizer, many in one call."""
+        known, rest = self.known, []
+        for w in words:
+            if _PLAIN.fullmatch(w):
+                pieces = _PIECES.findall(w)
+                if len(pieces) == 1:
+                    known[w] = self._piece(w)
+                else:
+                    ids = [self._piece(p) for p in pieces]
+                    known[w] = b"".join(ids)
+                    # a word with a full stop, comma or quote stands without it too
+                    known.update((p, i) for p, i in zip(pieces, ids, strict=True) if len(p) > 2)
+            else:
+                rest.append(w)
+        simple = [w for w in rest if "~" not in w and "\x00" not in w] if self.mark is not None else []
+        for w in set(rest).difference(simple):
             known[w] = self._one(w)
         for at in range(0, len(simple), 4096):
             part = simple[at : at + 4096]
@@ -74,20 +100,32 @@ class WordTokens:
             else:
                 for w in part:
                     known[w] = self._one(w)
-        for w in pointed:
-            known[w] = known[w[:-1]] + ends[w[-1]]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, 4 bytes each; the new words of all texts are learnt together."""
+        if len(self.known) >= _CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found, new = [], set()
+        for text in texts:
+            low = (text or "").encode().lower().decode()
+            words = [w for w in _SPACES.split(low) if w] if any(c in low for c in _NO_SPACES) else low.split()
+            got = list(map(known.get, words))
+            gaps = [i for i, g in enumerate(got) if g is None] if None in got else ()
+            new.update([words[i] for i in gaps])
+            found.append((words, got, gaps))
+        met = {w: older[w] for w in new if w in older} if older else {}
+        known.update(met)
+        new.difference_update(met)
+        if new:
+            self.learn(new)
+        for words, got, gaps in found:
+            for i in gaps:
+                got[i] = known[words[i]]
+        return [b"".join(got) for _, got, _ in found]
 
     def ids(self, text: str | None) -> bytes:
-        low = (text or "").encode().lower().decode()
-        words = [w for w in _SPACES.split(low) if w] if any(c in low for c in _NO_SPACES) else low.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w not in known})
-            if not all(w in known for w in words):  # the memory was emptied meanwhile
-                self.learn({w for w in words if w not in known})
-            return b"".join([known[w] if w in known else self._one(w) for w in words])
+        return self.texts([text])[0]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -131,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Every document is its token ids and ``end_id``; null, empty and blank texts are that id alone. A sequence lies within one input partition: its number is the partition's
     and a running count, and no row is shuffled. Rows with equal doc_id are documents of their own. A recomputed
     partition reads its rows in the same order from the files and gives the same bins.
-    Memory: one text at a time and, per class, the open bin's piece descriptions. A sequence holds ``capacity`` tokens at most; it is to be
+    Memory: 256 texts at a time and, per class, the open bin's piece descriptions. A sequence holds ``capacity`` tokens at most; it is to be
     padded to ``capacity``, unless its length is a power of two. No rows: no pieces.
     """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -160,8 +198,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = tokens.ids(text) + end
+                for doc, ids in zip(part.column(0).to_pylist(), tokens.texts(part.column(1).to_pylist()), strict=True):
+                    ids += end
                     total, at = len(ids) // 4, 0
                     for n, k in cut_lengths(total, capacity, waste):
                         bin_ = opened.setdefault(k, [])

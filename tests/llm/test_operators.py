@@ -235,6 +235,22 @@ def test_words_part_at_the_tokenizers_own_white_space():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_have_the_tokenizers_ids_in_any_generation(monkeypatch):
+    """All words of the table and made ones of letters, signs and digits, with a memory far too small for them."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 50)
+    tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.WordTokens(queries.tokenizer_path())
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(8)
+    letters = list("abcdeßäöüéñçêøÿ") + list("'.,-\"#~|<>_^`") + list("019") + ["'s", "ing", "tion", "e\u0301", "Ä", "µ", "ª", "ﬁ", "\x00", "<|endoftext|>"]
+    made = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(4000)]
+    seen = sorted({w for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() for w in (r["text"] or "").split()})
+    texts = [" ".join(x) for x in (made[:2000], made[2000:], seen[: len(seen) // 2], seen[len(seen) // 2 :], made[:300])]
+    for t, got in zip(texts, own.texts(texts[:3]) + own.texts(texts[3:]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
