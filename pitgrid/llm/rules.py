@@ -3,6 +3,9 @@
 Each document is measured in whole numbers. Histograms of the measures per language and source are the sketches: counts add up, so
 sketches of parts, and of all sources of a language, merge by summing. A threshold lies a tolerance and a multiple of
 the lower half's spread above the median; documents above it are rejected, besides those that fail the base rules.
+
+A group's threshold is drawn to its language's, and that to the threshold of all, as if each group had ``PRIOR`` more documents there: few
+documents move it little, many decide it, and no size switches from one rule to another.
 """
 
 from __future__ import annotations
@@ -10,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitgrid.functions.staging import stage
-from pitgrid.llm.common import shingle_hashes, words_of
+from pitgrid.llm.common import free_names, shingle_hashes, words_of
 
 #: measure -> tolerance above the median: per mille of characters, words and lines; tenths of a character
 MEASURES = {"symbols": 60, "capitals": 200, "repeated_lines": 400, "word_length": 15}
 SPREAD = 4
-#: groups of fewer documents use their language's sketch, or the sketch of all
-MIN_DOCS = 100
-EXACT = 1000
+#: documents by whose weight a threshold is drawn to that of the level above
+PRIOR = 100
+#: leading bits that a bucket keeps of a value: smaller ones are exact, others off by less than 1 / 2 ** (BITS - 1)
+BITS = 8
 
 
 def measured(docs: DataFrame, text_col: str = "text", prefix: str = "_q_") -> DataFrame:
@@ -52,8 +56,9 @@ def measured(docs: DataFrame, text_col: str = "text", prefix: str = "_q_") -> Da
 
 
 def bucket(v: Column) -> Column:
-    """Bucket of a measure: the value itself below ``EXACT``, above it one bucket per power of two."""
-    return F.when(v < EXACT, v).otherwise(EXACT + F.length(F.bin(v))).cast("long")
+    """Lower bound of a value's bucket: the value with all but its first ``BITS`` bits cleared."""
+    cut = F.length(F.bin(v)) - BITS
+    return F.when(v < 1 << BITS, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, cut), cut)).cast("long")
 
 
 def sketches(rows: DataFrame, prefix: str = "_q_") -> DataFrame:
@@ -64,7 +69,7 @@ def sketches(rows: DataFrame, prefix: str = "_q_") -> DataFrame:
 
 
 def thresholds(parts: DataFrame) -> DataFrame:
-    """(level, lang, source, docs, t_<measure>...) per group and, merged, per language (level 1) and for all (level 2).
+    """(lang, source, t_<measure>...) per group, each threshold drawn to those of its language and of all.
 
     Quantiles are the smallest bucket whose running count reaches the share; all arithmetic is on whole numbers.
     """
@@ -82,21 +87,22 @@ def thresholds(parts: DataFrame) -> DataFrame:
     found = ranked.groupBy(*key).agg(F.max("docs").alias("docs"), at(50).alias("q50"), at(10).alias("q10"))
     slack = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
     found = found.withColumn("t", F.col("q50") + SPREAD * (F.col("q50") - F.col("q10")) + slack)
-    return found.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("t"))).alias(f"t_{m}") for m in MEASURES])
+    own = found.where("level = 0").select("lang", "source", "measure", "docs", "t")
+    one = found.where("level = 1").select(F.col("lang").alias("_l"), F.col("measure").alias("_m"), F.col("docs").alias("_dl"), F.col("t").alias("_tl"))
+    top = found.where("level = 2").select(F.col("measure").alias("_n"), F.col("t").alias("_ta"))
+    own = own.join(one, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).join(top, F.col("measure") == F.col("_n"))
+    drawn = own.withColumn("_tl", F.expr(f"(_dl * _tl + {PRIOR} * _ta) div (_dl + {PRIOR})"))
+    drawn = drawn.withColumn("t", F.expr(f"(docs * t + {PRIOR} * _tl) div (docs + {PRIOR})"))
+    return drawn.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("t"))).alias(f"t_{m}") for m in MEASURES])
 
 
 def judged(rows: DataFrame, bounds: DataFrame, prefix: str = "_q_") -> DataFrame:
-    """Measured ``rows`` with ``<prefix>kept``; null languages and sources are groups of their own."""
-    marks = [f"t_{m}" for m in MEASURES]
-    pick = lambda level, n: bounds.where(F.col("level") == level).select(
-        F.col("lang").alias(f"_l{n}"), F.col("source").alias(f"_s{n}"), F.struct("docs", *marks).alias(f"_b{n}"))
-    # a group's own sketch where it has documents enough, else its language's, else that of all: one row per group
-    groups = pick(0, 0)
-    groups = groups.join(pick(1, 1).drop("_s1"), F.col("_l0").eqNullSafe(F.col("_l1")), "left").join(pick(2, 2).drop("_l2", "_s2"), F.lit(True), "left")
-    enough = lambda n: F.col(f"_b{n}.docs") >= MIN_DOCS
+    """Measured ``rows`` with ``<prefix>kept``; null languages and sources are groups of their own.
+
+    A document whose group has no document of ten words or more fails the base rules anyway.
+    """
     # written first: its size is then known, and a small table is joined without a shuffle of the rows
-    groups = groups.select("_l0", "_s0", F.when(enough(0), F.col("_b0")).when(enough(1), F.col("_b1")).otherwise(F.col("_b2")).alias("_b"))
-    groups = stage(groups, "thresholds")
+    groups = stage(bounds.select(F.col("lang").alias("_l0"), F.col("source").alias("_s0"), F.struct(*[f"t_{m}" for m in MEASURES]).alias("_b")), "thresholds")
     out = rows.join(groups, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
     fits = F.lit(True)
     for m in MEASURES:
@@ -105,13 +111,15 @@ def judged(rows: DataFrame, bounds: DataFrame, prefix: str = "_q_") -> DataFrame
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns.
+    """The rows of ``docs`` that pass, with its columns, whatever their names.
 
-    Each text is measured once; what is written are the counts. The verdicts find their rows by doc_id, language, source and
+    Null, empty and blank texts have no words and go; repeated rows pass or go together; the thresholds are the same in any order of rows, and an empty table
+    gives an empty result. Each text is measured once; what is written are the counts. The verdicts find their rows by doc_id, language, source and
     a hash of the text, which costs one shuffle of the texts and no copy of them.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    key = F.concat_ws("\x01", text("doc_id"), text("lang"), text("source"), F.xxhash64(text("text"))).alias("_row")
+    (name,) = free_names(docs, "row_key")
+    key = F.concat_ws("\x01", text("doc_id"), text("lang"), text("source"), F.xxhash64(text("text"))).alias(name)
     rows = stage(measured(docs.select("lang", "source", "text", key)).drop("text"), "measured")
-    kept = judged(rows, thresholds(sketches(rows))).where("_q_kept").select("_row")
-    return docs.select("*", key).hint("merge").join(kept, "_row", "left_semi").drop("_row")
+    kept = judged(rows, thresholds(sketches(rows))).where("_q_kept").select(name)
+    return docs.select("*", key).hint("merge").join(kept, name, "left_semi").drop(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitgrid.llm.rules import EXACT, MEASURES, MIN_DOCS, SPREAD
+from pitgrid.llm.rules import BITS, MEASURES, PRIOR, SPREAD
 
 #: A base32 digit is 5 bits, so five hex digits hold four of them.
 WARC = """
@@ -15,10 +15,11 @@ SELECT page_id, payload_bytes,
 FROM p JOIN f USING (h)
 """
 
-_bucket = lambda v: f"(CASE WHEN {v} < {EXACT} THEN {v} ELSE {EXACT} + length(bin({v})) END)"
+_bucket = lambda v: f"(CASE WHEN {v} < {1 << BITS} THEN {v} ELSE ({v} >> CAST(length(bin({v})) - {BITS} AS INTEGER)) << CAST(length(bin({v})) - {BITS} AS INTEGER) END)"
 _long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket('m_' + m)} AS bucket FROM m WHERE n_words >= 10" for m in MEASURES)
 _slack = " ".join(f"WHEN '{m}' THEN {n}" for m, n in MEASURES.items())
-_fits = " AND ".join(f"coalesce({_bucket('m.m_' + m)} <= CASE WHEN o.docs >= {MIN_DOCS} THEN o.t_{m} WHEN l.docs >= {MIN_DOCS} THEN l.t_{m} ELSE g.t_{m} END, true)" for m in MEASURES)
+_drawn = lambda m: f"(o.docs * o.t_{m} + {PRIOR} * ((l.docs * l.t_{m} + {PRIOR} * g.t_{m}) // (l.docs + {PRIOR}))) // (o.docs + {PRIOR})"
+_fits = " AND ".join(f"coalesce({_bucket('m.m_' + m)} <= {_drawn(m)}, true)" for m in MEASURES)
 RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
