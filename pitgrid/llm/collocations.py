@@ -1,7 +1,8 @@
 """Phrase collocations: frequent n-grams by mergeable Misra-Gries summaries, then counted exactly and scored by their weakest cut.
 
 A summary with c counters loses at most mass / (c + 1) of any count, also when it is merged from parts. N-grams are dealt to hash partitions, each
-with its own summary of more than mass / threshold counters: every n-gram with ``least`` occurrences survives. A further pass over the texts counts the survivors exactly.
+with its own summary of ``SPARE`` x mass / threshold counters and its own record of what it lost: every n-gram with ``least`` occurrences survives, and few others
+do. A further pass over the texts counts the survivors exactly.
 
 An n-gram that frequent has frequent parts, so the summaries are made level by level: words, then pairs of surviving
 words, then runs of surviving pairs. What the levels before let through is tested in a bit table of fixed size; a false hit adds work and changes no result.
@@ -25,7 +26,9 @@ TABLE_BITS = 27
 #: Words of all languages in a task's memory at a time; their n-grams are summed before they leave it.
 BUFFER = 1 << 20
 #: Occurrences that a hash partition takes on average; its summary holds mass / threshold counters.
-PART_MASS = 1 << 24
+PART_MASS = 1 << 22
+#: Counters of a summary, as a multiple of the least number that keeps every frequent n-gram.
+SPARE = 4
 #: Words that a task remembers the hashes of.
 KNOWN = 1 << 18
 
@@ -163,10 +166,10 @@ def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
 
 
 class Summary:
-    """Misra-Gries counters of one hash partition; ``merge`` takes counts in any order and in parts."""
+    """Misra-Gries counters of one hash partition; ``merge`` takes counts in any order and in parts. A count is too low by ``lost`` at most."""
 
     def __init__(self, counters: int):
-        self.counters = counters
+        self.counters, self.lost = counters, 0
         self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def merge(self, keys: np.ndarray, n: np.ndarray) -> None:
@@ -175,8 +178,9 @@ class Summary:
         n = np.bincount(at, weights=n).astype(np.int64) if len(at) else n[:0]
         if len(keys) > self.counters:
             # all counters are lowered by the largest that has to go
-            n = n - np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1]
-            keys, n = keys[n > 0], n[n > 0]
+            less = int(np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1])
+            keys, n = keys[n > less], n[n > less] - less
+            self.lost += less
         self.keys, self.n = keys, n
 
 
@@ -199,7 +203,7 @@ def survivors(counts: DataFrame, least: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(p)], strict=True):
                 at = int(p[lo])
-                summaries.setdefault(at, Summary(sizes[at] // least + 1)).merge(h[lo:hi], n[lo:hi])
+                summaries.setdefault(at, Summary(SPARE * sizes[at] // least + 1)).merge(h[lo:hi], n[lo:hi])
             waiting.clear()
 
         for batch in batches:
@@ -209,8 +213,9 @@ def survivors(counts: DataFrame, least: int) -> DataFrame:
         if waiting:
             merge()
         for s in summaries.values():
-            for lo in range(0, len(s.keys), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(s.keys[lo : lo + 65536])], names=["h"])
+            keys = s.keys[s.n + s.lost >= least]
+            for lo in range(0, len(keys), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 65536])], names=["h"])
 
     find_package(counts.sparkSession)
     return counts.select(part.alias("part"), "h", "n").repartition("part").mapInArrow(run, "h long")
