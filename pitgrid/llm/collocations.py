@@ -54,11 +54,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _runs(batches, with_words: bool):
-    """(lang, words, hashes) of texts with one language, ``BUFFER`` words in memory at a time (half with words); hash 0 is the end of a piece."""
+def _runs(batches, with_words: bool, buffer: int):
+    """(lang, words, hashes) of texts with one language, ``buffer`` words in memory at a time (half with words); hash 0 is the end of a piece."""
     known = _Hashes({_BREAK: 0})
     held: dict[str, tuple[list, list, int]] = {}
-    total, most = 0, BUFFER // 2 if with_words else BUFFER
+    total, most = 0, buffer // 2 if with_words else buffer
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
@@ -102,7 +102,7 @@ def _seed(lang: str) -> np.uint64:
 
 
 def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - TABLE_BITS)
+    at = hashes >> np.uint64(65 - (64 * len(table)).bit_length())
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -124,10 +124,12 @@ def _kept(h: np.ndarray, seed: np.uint64, first: int, last: int, table: np.ndarr
 def _counts(texts: DataFrame, first: int, last: int, table=None) -> DataFrame:
     """(h, n): occurrences of the k-grams of parts of the texts by their 64-bit hash."""
 
+    buffer = BUFFER
+
     def run(batches):
         bits = None if table is None else np.frombuffer(table.value, dtype=np.uint64)
-        for lang, _, h in _runs(batches, False):
-            found = [g for _, g, _ in _kept(h, _seed(lang), first, last, bits)]
+        for lang, _, h in _runs(batches, False, buffer):
+            found = [np.zeros(0, dtype=np.uint64), *(g for _, g, _ in _kept(h, _seed(lang), first, last, bits))]
             hashes, n = np.unique(np.concatenate(found), return_counts=True)
             for lo in range(0, len(hashes), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[lo : lo + 65536].view(np.int64)), pa.array(n[lo : lo + 65536])], names=["h", "n"])
@@ -142,9 +144,11 @@ def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
     Hashes group the phrases of one buffer only; buffers and tasks are summed by the phrases themselves.
     """
 
+    buffer = BUFFER
+
     def run(batches):
         bits = np.frombuffer(table.value, dtype=np.uint64)
-        for lang, parts, h in _runs(batches, True):
+        for lang, parts, h in _runs(batches, True, buffer):
             words = list(chain.from_iterable(parts))
             phrases, counts = [""], [int(np.count_nonzero(h))]
             ok = None

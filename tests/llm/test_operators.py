@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import re
 import zlib
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitgrid.llm import licenses, mixing, packing, quality_model, queries, rules, secrets, sharding, simhash, similar, sketches, warc
+from pitgrid.llm import collocations, hyperminhash, lexical, licenses, mixing, packing, quality_model, queries, rules, secrets, setjoin, sharding, simhash, similar, sketches, warc
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -467,7 +468,7 @@ def test_pipeline_runs_whole(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "mask_secrets", "mix_sources", "pack_sequences"]
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.min("doc_id")).first()[0] is not None
-    assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op([1-9]|10)_", q)} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {q for q in queries.QUERIES if re.match(r"op([1-9]|1[0-3])_", q)} and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -475,7 +476,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = sorted(c[0] for c in found.description)
@@ -484,3 +485,208 @@ def test_queries_equal_their_sql(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
     assert sorted(got.columns) == columns
     assert sorted(str(tuple(r[c] for c in columns)) for r in got.collect()) == want
+
+
+def plain_terms(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+
+def plain_search(docs, items, k=10):
+    """Every item against every document, straight from the definition."""
+    found = [(d, collections.Counter(plain_terms(t))) for d, t in docs]
+    found = [(d, c, sum(c.values())) for d, c in found if c]
+    n_docs, n_words = len(found), sum(n for *_, n in found)
+    df = collections.Counter(t for _, c, _ in found for t in c)
+    held = collections.defaultdict(set)
+    for i, t in items:
+        held[i] |= set(plain_terms(t))
+    out = []
+    for i, terms in held.items():
+        scores = []
+        for d, c, n in found:
+            m = 10 + 90 * n * n_docs // n_words
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if score > 0:
+                scores.append((-score, d is None, d or 0))
+        out += [(str(i), r, None if none else d, -score) for r, (score, none, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(map(str, out))
+
+
+ITEMS = [(1, "two WORDS here"), (1, "two words here"), (2, None), (3, ""), (4, "w1x1 w2x2 again text"), (None, "license null"), (None, "license null x"), (5, "x a b"), (6, "a b x text"), (7, "nowhere found")]
+
+
+def test_search_equals_the_definition(spark, odd, empty, monkeypatch):
+    items = spark.createDataFrame([(*r, "extra", 1) for r in ITEMS], "item_id long, text string, score string, rank int")
+    docs = [(r[0], r[1]) for r in ODD]
+    want = plain_search(docs, ITEMS)
+    assert len(want) > 10
+    for block in (20_000, 3):  # one block of items, and several
+        monkeypatch.setattr(lexical, "BLOCK_TERMS", block)
+        got = lexical.ranked(odd, items).collect()
+        assert sorted(str((str(r.item_id), r["rank"], r.doc_id, r.score)) for r in got) == want
+    assert [r["rank"] for r in lexical.ranked(odd, items, k=1).collect()] == [1] * len({w[:w.index(",")] for w in want})
+    assert lexical.ranked(empty, items).count() == 0 and lexical.ranked(odd, items.limit(0)).count() == 0
+    assert lexical.ranked(odd, items).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_sharing_graph_computes_every_item():
+    rng = np.random.default_rng(6)
+    items = [sorted(set(rng.integers(0, 40, rng.integers(0, 25)).tolist())) for _ in range(60)] + [[], [1], [1], list(range(40))]
+    nodes, parts = lexical.sharing_graph(items, 40)
+    value = [3**i for i in range(40)]
+    for a, b in nodes:
+        value.append(value[a] + value[b])
+    assert [sum(value[p] for p in held) for held in parts] == [sum(3**t for t in held) for held in items]
+    # fewer sums than adding up each item on its own
+    assert len(nodes) + sum(max(0, len(p) - 1) for p in parts) < sum(max(0, len(t) - 1) for t in items)
+
+
+def plain_collocations(docs, least, top):
+    f, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, t in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOWER)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            n[lang] += len(w)
+            for k in range(1, 6):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        cand = {g: a for g, a in counts.items() if len(g) > 1 and a >= least}
+        inside = lambda g, h: any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))
+        rows = []
+        for g, a in cand.items():
+            if any(len(h) > len(g) and 100 * b >= 100 * a and inside(g, h) for h, b in cand.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (counts[g[:k]] * counts[g[k:]]), k) for k in range(1, len(g)))
+            rows.append((-score, -a, " ".join(g).encode(), counts[g[:k]], counts[g[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
+
+
+def test_collocations_equal_plain_counts(spark, odd, empty, monkeypatch):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["lang", "text"]).to_pylist()
+    docs = [(r["lang"], r["text"]) for r in rows] + [(None, "a b. a b, b a a a a\tz"), (None, None), ("", "Q q q q q q q"), ("en", "")] + [(None, "\x0b x\x1cy É é ́ é a\x00b " * 40)] * 3
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    for buffer, mass, bits in ((1 << 20, 1 << 22, 27), (500, 1000, 12)):  # roomy, and with hardly any memory
+        for name, v in (("BUFFER", buffer), ("PART_MASS", mass), ("TABLE_BITS", bits)):
+            monkeypatch.setattr(collocations, name, v)
+        got = collocations.collocations(df, least=60, top=50)
+        assert sorted(tuple(r) for r in got.collect()) == plain_collocations(docs, 60, 50)
+    assert collocations.collocations(empty).count() == 0 and collocations.collocations(odd).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    few = collocations.collocations(odd, least=2)
+    assert sorted(tuple(r) for r in few.collect()) == plain_collocations([(r[2], r[1]) for r in ODD], 2, 2000)
+
+
+def test_summaries_keep_what_is_frequent():
+    """Merged in any order and in parts, with barely enough counters, no key with 50 occurrences is lost and no count is too low by more than recorded."""
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([rng.zipf(1.3, 20_000) % 5000, np.repeat(np.arange(9000, 9010), 50)])
+    rng.shuffle(keys)
+    true = collections.Counter(keys.tolist())
+    s = collocations.Summary(len(keys) // 50 + 1)
+    for part in np.array_split(keys, 37):
+        u, n = np.unique(part, return_counts=True)
+        s.merge(u, n)
+    held = dict(zip(s.keys.tolist(), s.n.tolist()))
+    assert s.lost < 50 and len(held) <= s.counters
+    assert all(k in held for k, n in true.items() if n >= 50) and all(held.get(k, 0) <= n <= held.get(k, 0) + s.lost for k, n in true.items())
+
+
+def pair_set(t):
+    w = words((t or "").translate(LOWER))
+    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset((x,) for x in w)
+
+
+def pair_groups(rows, percent=80):
+    """Smallest id reachable over links of whole sets, all pairs compared; a null id is never the smallest."""
+    sets = [pair_set(t) for _, t in rows]
+    holders = collections.defaultdict(list)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        for j, n in collections.Counter(j for s in own for j in holders[s]).items():
+            if 100 * n >= percent * (len(own) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+        for s in own:
+            holders[s].append(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
+    return [(d, len(s), least[find(i)], d == least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_hyperminhash_groups_equal_all_pairs(spark, odd, empty):
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]
+    for df, rows in ((odd, [(r[0], r[1]) for r in ODD]), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), docs)):
+        got = hyperminhash.near_duplicates(df)
+        assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, pair_groups(rows)))
+    assert hyperminhash.near_duplicates(empty).count() == 0
+
+
+def test_hyperminhash_links_in_crowded_bands(spark):
+    """Documents of one passage: pairs at 0.81, all others below 0.8 and above 0.6; and edited copies alike to their original only."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(500))
+    rows = []
+    for i in range(120):
+        two = " ".join(f"two{i}x{j}" for j in range(50))
+        for side in "ab":
+            rows.append((len(rows), " ".join([passage, two, *(f"{side}{i}x{j}" for j in range(60))])))
+    base = [f"v{i}" for i in range(600)]
+    rows.append((1000, " ".join(base)))
+    for i in range(150):
+        w = list(base)
+        for at in rng.choice(300, 30, replace=False):
+            w[2 * at] = f"e{i}x{at}"
+        rows.append((1001 + i, " ".join(w)))
+    rows += [(5000 + i, "same words for all of them") for i in range(400)] + [(6000 + i, None) for i in range(5)]
+    want = pair_groups(rows)
+    assert len({c for *_, c, _ in want[:240]}) == 120 and {c for *_, c, _ in want[240:391]} == {1000}
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_registers_estimate_the_similarity():
+    rng = np.random.default_rng(9)
+    errors = []
+    for n, share in ((30, 0.8), (200, 0.8), (2000, 0.5), (20_000, 0.8), (20_000, 0.1)):
+        for _ in range(20):
+            both = rng.integers(0, 1 << 63, int(n * 2 * share / (1 + share)), dtype=np.uint64) * np.uint64(2)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64) * np.uint64(2)])) for _ in range(2))
+            a, b = (np.unique(hyperminhash.mix(x)) for x in (a, b))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            est = hyperminhash.similarity(int((hyperminhash.registers(a) == hyperminhash.registers(b)).sum()), len(a), len(b))
+            errors.append(est - true)
+            assert est >= hyperminhash.bound(len(a), len(b), 0.8) or true < 0.8
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
+    # accidental agreement is what the correction takes off
+    a, b = (np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+    assert abs(hyperminhash.similarity(int((hyperminhash.registers(a) == hyperminhash.registers(b)).sum()), len(a), len(b))) < 0.05
+
+
+def test_apart_pairs_lose_no_pair(spark):
+    """Random sets over a small vocabulary, many of them alike: every pair at 0.8 in different groups is listed."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(260):
+        if i % 4 and rows:
+            old = rows[rng.integers(0, len(rows))][2]
+            own = sorted((set(old) - set(rng.choice(old, max(0, len(old) // 9)).tolist())) | set(rng.integers(0, 400, len(old) // 12).tolist()))
+        else:
+            own = sorted(set(rng.integers(0, 400, rng.integers(1, 60)).tolist()))
+        rows.append((i, int(rng.integers(0, 120)), own))
+    want = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[1] != b[1] and a[0] < b[0] and 100 * len(set(a[2]) & set(b[2])) >= 80 * len(set(a[2]) | set(b[2]))}
+    assert len(want) > 50
+    sets = spark.createDataFrame(rows, "id long, g long, s array<long>")
+    pairs = setjoin.apart_pairs(sets)
+    assert want <= {tuple(sorted((r.a, r.b))) for r in pairs.collect()}
+    linked = setjoin.agreeing(pairs, sets)
+    assert {tuple(sorted((r.a, r.b))) for r in linked.collect()} == want
