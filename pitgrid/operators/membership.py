@@ -89,15 +89,27 @@ def ticker_spells(seed: DataFrame, events: DataFrame, seed_date: Column) -> Data
 
 
 def membership_intervals(seed: DataFrame, events: DataFrame, seed_date: Column, company_map: DataFrame, classes: DataFrame) -> DataFrame:
-    """Closed membership intervals per company; a change of representative starts a new one."""
+    """Closed membership intervals per company; a change of representative starts a new one.
+
+    One pass over the starts and ends of a company's spells (those of its share classes), in order of days.
+    """
     spells = ticker_spells(seed, events, seed_date)
     ident = company_of_ticker(spells, company_map, classes)
     spells = spells.join(ident, "ticker")
-    breaks = spells.select("company_id", F.explode(F.array("spell_from", "spell_to")).alias("day")).where("day IS NOT NULL").distinct()
-    at = breaks.join(spells, "company_id").where(
-        (F.col("spell_from") <= F.col("day")) & (F.col("spell_to").isNull() | (F.col("day") < F.col("spell_to")))
-    ).groupBy("company_id", "day").agg(representative(F.col("ticker"), F.col("canonical")).alias("ticker"))
-    states = breaks.join(at, ["company_id", "day"], "left")
+    # starts and ends in the order of days; the set of open tickers is carried along, a canonical ticker before others
+    name = F.struct((F.col("ticker") != F.coalesce("canonical", F.lit(""))).alias("other"), "ticker").alias("name")
+    moves = spells.select("company_id", name, F.explode(F.array(
+        F.struct(F.col("spell_from").alias("day"), F.lit(True).alias("opens")), F.struct(F.col("spell_to").alias("day"), F.lit(False).alias("opens")))).alias("m"))
+    moves = moves.where("m.day IS NOT NULL").groupBy("company_id", F.col("m.day").alias("day")).agg(
+        F.collect_set(F.when(F.col("m.opens"), F.col("name"))).alias("opened"), F.collect_set(F.when(~F.col("m.opens"), F.col("name"))).alias("closed"))
+    line = moves.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("day", "opened", "closed"))).alias("line"))
+    empty = F.struct(F.expr("cast(array() as array<struct<other: boolean, ticker: string>>)").alias("open"), F.expr("cast(array() as array<struct<day: date, ticker: string>>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = F.array_union(F.array_except(s["open"], x["closed"]), x["opened"])
+        return F.struct(now.alias("open"), F.concat(s["out"], F.array(F.struct(x["day"].alias("day"), F.array_min(now)["ticker"].alias("ticker")))).alias("out"))
+
+    states = line.select("company_id", F.inline(F.aggregate("line", empty, step)["out"]))
     w = W.partitionBy("company_id").orderBy("day")
     changed = states.withColumn("_prev", F.lag("ticker").over(w)).where(~F.col("ticker").eqNullSafe(F.col("_prev")))
     out = changed.withColumn("member_to", F.date_sub(F.lead("day").over(w), 1)).where(F.col("ticker").isNotNull())

@@ -85,7 +85,10 @@ def portfolio_risk(books: DataFrame, prices: DataFrame, sessions: int = 252) ->
     marks = asof_join(books.select("signal_date").distinct().withColumn("_k", F.lit(1)), days, ["_k"], "signal_date", "price_date", ["_no"])
     marks = marks.select("signal_date", F.col("_no").alias("_last"))
     b = books.join(marks, "signal_date")
-    hit = b.join(r, "company_id").where((F.col("_no") <= F.col("_last")) & (F.col("_no") > F.col("_last") - sessions))
+    # a window of sessions lies in two buckets of that many sessions
+    bucket = F.floor(F.col("_last") / sessions)
+    near = b.withColumn("_bucket", F.explode(F.array(bucket, bucket - 1)))
+    hit = near.join(r.withColumn("_bucket", F.floor(F.col("_no") / sessions)), ["company_id", "_bucket"]).where((F.col("_no") <= F.col("_last")) & (F.col("_no") > F.col("_last") - sessions))
     daily = hit.groupBy("strategy", "signal_date", "_no").agg(F.sum(F.col("weight") * F.col("ret")).alias("x"))
     sums = daily.groupBy("strategy", "signal_date").agg(F.sum("x").alias("_sx"), F.sum(F.col("x") * F.col("x")).alias("_sxx"))
     base = b.groupBy("strategy", "signal_date").agg(F.sum(F.col("weight") * F.col("weight")).alias("_ww"), F.least(F.max("_last"), F.lit(sessions)).alias("sessions"))

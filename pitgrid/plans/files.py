@@ -9,7 +9,7 @@ from pitgrid.operators import quality
 from pitgrid.plans.certification import gaps
 from pitgrid.plans.ingestion import export, typed
 from pitgrid.plans.registry import query
-from pitgrid.sources import readers, writers
+from pitgrid.sources import lake, readers, writers
 
 day = lambda s: F.lit(s).cast("date")
 ts = lambda s: F.lit(s).cast("timestamp_ntz")
@@ -33,10 +33,20 @@ def s01(t):
     return df.withColumns({"IQ_TOTAL_REV": F.expr("try_cast(IQ_TOTAL_REV AS DOUBLE)"), "IQ_NET_INC_PARENT": F.col("IQ_NET_INC_PARENT").isNull()})
 
 
-@query("S02_scan_price_lake", "company_id:s price_date:d source:s close:f", "SELECT * FROM prices WHERE price_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND (company_id IN (SELECT company_id FROM holdings) OR ticker = 'SPY')")
+def lake_root(t):
+    """The lake of the price table, one generation; a fixture."""
+    return once(t, "lake", lambda p: writers.merge_into_price_lake(t.spark, p, t.prices))
+
+
+_YEARS = "price_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"
+
+
+@query("S02_scan_price_lake", "company_id:s price_date:d source:s close:f", f"""
+  SELECT p.company_id, price_date, source, close FROM prices p JOIN (SELECT DISTINCT company_id FROM holdings) h ON h.company_id = p.company_id WHERE {_YEARS}
+  UNION ALL SELECT company_id, price_date, source, close FROM prices WHERE ticker = 'SPY' AND {_YEARS}""")
 def s02(t):
     spy = t.prices.where("ticker = 'SPY'").select("ticker").distinct()
-    return readers.scan_price_lake(t.prices, day("1997-01-01"), day("1999-12-31"), t.holdings, spy)
+    return readers.scan_price_lake(readers.price_lake(t.spark, lake_root(t), 1997, 1999), day("1997-01-01"), day("1999-12-31"), t.holdings, spy)
 
 
 def vintages(t):
@@ -44,10 +54,12 @@ def vintages(t):
     return t.prices.where("source = 'yahoo_adjusted'").withColumns({"close": F.col("close") + 1, "ingested_at": ts("2002-02-01"), "source_file_id": F.lit("src_fix")})
 
 
-@query("S03_merge_price_lake", "company_id:s price_date:d source:s close:f source_file_id:s", "SELECT company_id, price_date, source, CASE WHEN source = 'yahoo_adjusted' THEN close + 1 ELSE close END AS close, CASE WHEN source = 'yahoo_adjusted' THEN 'src_fix' ELSE source_file_id END AS source_file_id FROM prices")
+@query("S03_merge_price_lake", "company_id:s price_date:d source:s close:f source_file_id:s", "SELECT company_id, price_date, source, CASE WHEN source = 'yahoo_adjusted' AND price_date >= DATE '1998-01-01' THEN close + 1 ELSE close END AS close, CASE WHEN source = 'yahoo_adjusted' AND price_date >= DATE '1998-01-01' THEN 'src_fix' ELSE source_file_id END AS source_file_id FROM prices")
 def s03(t):
-    path = once(t, "lake", lambda p: writers.write_price_lake(writers.merge_price_lake(t.prices, vintages(t)), p))
-    return t.spark.read.parquet(path)
+    """The correction touches the years from 1998 on; each call writes a generation of its own."""
+    root = once(t, "merged-lake", lambda p: writers.merge_into_price_lake(t.spark, p, t.prices))
+    writers.merge_into_price_lake(t.spark, root, vintages(t).where("price_date >= DATE '1998-01-01'"))
+    return lake.read_parts(t.spark, root)
 
 
 def symbol_rows(t):
@@ -93,7 +105,10 @@ KEY = ["company_id", "fiscal_period", "effective_at", "metric"]
 def s06(t):
     new = t.estimates.where(F.year("as_of_date") >= 2000).withColumns({"source_file_id": F.lit("src_new"), "ingested_at": ts("2002-01-01")})
     batch = new.unionByName(new.withColumns({"value": F.col("value") * 2, "ingested_at": ts("2002-01-02")}))
-    return writers.upsert_by_key(t.estimates.where(F.year("as_of_date") < 2001), batch, KEY, ["ingested_at", "source_file_id"])
+    year = F.year("effective_at")
+    root = once(t, "estimates", lambda p: writers.upsert_into(t.spark, p, t.estimates.where(F.year("as_of_date") < 2001), year, KEY, ["ingested_at", "source_file_id"]))
+    writers.upsert_into(t.spark, root, batch, year, KEY, ["ingested_at", "source_file_id"])
+    return lake.read_parts(t.spark, root)
 
 
 @query("S07_insert_if_absent", "company_id:s fiscal_period:d effective_at:t metric:s value:f source_file_id:s", """
@@ -108,7 +123,7 @@ def s07(t):
 def s08(t):
     """One file per year of estimates; the odd ones are registered already."""
     def write(path):
-        t.estimates.select((F.year("as_of_date") - 1995).alias("n"), F.concat_ws(",", "company_id", "metric", "value").alias("line")).repartition(1, "n").write.partitionBy("n").text(path)
+        t.estimates.select((F.year("as_of_date") - 1995).alias("n"), F.concat_ws(",", "company_id", "metric", "value").alias("line")).repartition("n").write.partitionBy("n").text(path)
 
     path = once(t, "registered", write)
     none = t.spark.range(0).select(F.lit("").alias("sha256"))

@@ -270,15 +270,26 @@ def p19(t):
     return asof.lessons_asof(resolved_decisions(t), asks)
 
 
+# all sources, and as a benchmark the lowest close of each day
+step("raw_bench", """
+  SELECT company_id, ticker, price_date, adjusted_close, source, ingested_at, source_file_id FROM raw_prices
+  UNION ALL SELECT 'BENCHMARK:SPY', 'SPY', price_date, min(adjusted_close), 'yahoo_adjusted', max(ingested_at), 'src_spy' FROM raw_prices GROUP BY price_date""")
+
+
 @query("P20_extreme_return_in_membership", "company_id:s ticker:s price_date:d prev_close:f adjusted_close:f move:f", """
   SELECT * FROM (
     SELECT company_id, ticker, price_date, adjusted_close, lag(adjusted_close) OVER (PARTITION BY company_id, ticker ORDER BY price_date) AS prev_close,
            adjusted_close / lag(adjusted_close) OVER (PARTITION BY company_id, ticker ORDER BY price_date) - 1 AS move
-    FROM (SELECT * FROM raw_prices WHERE source = 'capital_iq') r) q
-  WHERE abs(move) > 3.0 AND EXISTS (SELECT 1 FROM index_membership m WHERE m.company_id = q.company_id
-        AND m.member_from <= q.price_date AND (m.member_to IS NULL OR m.member_to >= q.price_date))""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY company_id, price_date ORDER BY
+               CASE source WHEN 'capital_iq' THEN 0 WHEN 'yahoo_adjusted' THEN 1 WHEN 'alpaca_iex_adjusted' THEN 2 ELSE 3 END, ingested_at DESC, source_file_id DESC) AS rn FROM raw_bench) r WHERE rn = 1) q
+  WHERE abs(move) > 3.0 AND (ticker = 'SPY' OR EXISTS (SELECT 1 FROM index_membership m WHERE m.company_id = q.company_id
+        AND m.member_from <= q.price_date AND (m.member_to IS NULL OR m.member_to >= q.price_date)))""")
 def p20(t):
-    return asof.extreme_return_in_membership(t.raw_prices.where("source = 'capital_iq'"), t.index_membership)
+    cols = ["company_id", "ticker", "price_date", "adjusted_close", "source", "ingested_at", "source_file_id"]
+    bench = t.raw_prices.groupBy("price_date").agg(F.min("adjusted_close").alias("adjusted_close"), F.max("ingested_at").alias("ingested_at")).withColumns(
+        {"company_id": F.lit("BENCHMARK:SPY"), "ticker": F.lit("SPY"), "source": F.lit("yahoo_adjusted"), "source_file_id": F.lit("src_spy")})
+    every = t.raw_prices.select(*cols).unionByName(bench.select(*cols))
+    return asof.extreme_return_in_membership(asof.price_precedence(every), t.index_membership)
 
 
 @query("P21_monthly_latest_snapshot_best", "period:d snapshot_date:d covered:i active_count:i ratio:f", """

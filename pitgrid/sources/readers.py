@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitgrid.functions.groups import latest
 from pitgrid.operators.text import strip_html
+from pitgrid.sources import lake
 
 BARS_SCHEMA = (
     "batch int, page int, response struct<bars:map<string,array<struct<t:string,o:double,h:double,l:double,c:double,v:double>>>,next_page_token:string>"
@@ -26,6 +27,11 @@ def scan_csv_export(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path).na.drop("all")
 
 
+def price_lake(spark: SparkSession, root: str, first_year: int, last_year: int) -> DataFrame | None:
+    """The lake's valid files of some years; other years are not listed."""
+    return lake.read_parts(spark, root, [str(y) for y in range(first_year, last_year + 1)])
+
+
 def scan_price_lake(prices: DataFrame, start: Column, end: Column, companies: DataFrame | None = None, tickers: DataFrame | None = None) -> DataFrame:
     """Date range of the lake for companies OR tickers; a missing list means no filter.
 

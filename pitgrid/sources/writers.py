@@ -1,12 +1,13 @@
-"""Merges and sinks. A merge returns the new table; ``replace_table`` swaps it in."""
+"""Merges and sinks. A merge of a DataFrame returns the new table; tables on disk are merged by partition and swapped in by ``lake``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitgrid.functions.groups import latest
+from pitgrid.sources import lake
 from pitgrid.sources.contracts import UPSERT_KEYS
 
 
@@ -16,10 +17,14 @@ def merge_price_lake(existing: DataFrame | None, incoming: DataFrame) -> DataFra
     return latest(both, UPSERT_KEYS["prices"], ["ingested_at", "source_file_id"])
 
 
-def write_price_lake(prices: DataFrame, path: str) -> None:
-    """S03, sink: Zstandard Parquet by year, rows of a company together; written to a new folder, never in place."""
-    out = prices.withColumn("year", F.year("price_date"))
-    out.repartition("year", "company_id").sortWithinPartitions("company_id", "price_date").write.mode("errorifexists").option("compression", "zstd").partitionBy("year").parquet(path)
+def merge_into_price_lake(spark: SparkSession, root: str, incoming: DataFrame) -> list[str]:
+    """``incoming`` merged into the lake at ``root``; only the years it touches are written. Returns these."""
+    return lake.merge_parts(spark, root, incoming, F.year("price_date"), UPSERT_KEYS["prices"], ["ingested_at", "source_file_id"], ["company_id", "price_date"])
+
+
+def upsert_into(spark: SparkSession, root: str, incoming: DataFrame, part: Column, key: Sequence[str], order: Sequence[str]) -> list[str]:
+    """S06, sink: upsert of a table on disk, partition by partition. Returns the partitions written."""
+    return lake.merge_parts(spark, root, incoming, part, key, order, list(key))
 
 
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
