@@ -25,6 +25,8 @@ LONGEST = 5
 TABLE_BITS = 27
 #: Words of all languages in a task's memory at a time; their n-grams are summed before they leave it.
 BUFFER = 1 << 20
+#: Phrases that a task holds before they leave it.
+HELD = 1 << 18
 #: Occurrences that a hash partition takes on average; its summary holds mass / threshold counters.
 PART_MASS = 1 << 22
 #: Counters of a summary, as a multiple of the least number that keeps every frequent n-gram.
@@ -141,29 +143,42 @@ def _counts(texts: DataFrame, first: int, last: int, table=None) -> DataFrame:
 def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
     """(lang, phrase, n): occurrences of every phrase whose hash and parts are in ``table``; phrase '' counts the words of the language.
 
-    Hashes group the phrases of one buffer only; buffers and tasks are summed by the phrases themselves.
+    A task adds up ``HELD`` phrases by their hashes before they leave it; what leaves is summed by the phrases themselves.
     """
-
     buffer = BUFFER
 
     def run(batches):
         bits = np.frombuffer(table.value, dtype=np.uint64)
+        held: dict[str, dict[int, list]] = {}
+
+        def leave():
+            for lang, found in held.items():
+                rows = list(found.values())
+                for lo in range(0, len(rows), 16384):
+                    n, phrases = zip(*rows[lo : lo + 16384], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(phrases), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+            held.clear()
+
         for lang, parts, h in _runs(batches, True, buffer):
             words = list(chain.from_iterable(parts))
-            phrases, counts = [""], [int(np.count_nonzero(h))]
+            found = held.setdefault(lang, {})
+            found.setdefault(0, [0, ""])[0] += int(np.count_nonzero(h))
             ok = None
             for k, grams, whole in _levels(h, _seed(lang), longest):
                 at = np.flatnonzero(whole if ok is None else whole & ok[: len(whole)])
                 at = at[_in_table(bits, grams[at])]
-                _, first, n = np.unique(grams[at], return_index=True, return_counts=True)
-                phrases += [b" ".join(words[i : i + k]).decode() for i in at[first].tolist()]
-                counts += n.tolist()
+                keys, first, n = np.unique(grams[at], return_index=True, return_counts=True)
+                for key, i, c in zip(keys.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                    if key in found:
+                        found[key][0] += c
+                    else:
+                        found[key] = [c, b" ".join(words[i : i + k]).decode()]
                 ok = np.zeros(len(whole), dtype=bool)
                 ok[at] = True
                 ok = ok[:-1] & ok[1:]
-            for lo in range(0, len(phrases), 16384):
-                some = phrases[lo : lo + 16384]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[lo : lo + 16384], pa.int64())], names=["lang", "phrase", "n"])
+            if sum(map(len, held.values())) >= HELD:
+                yield from leave()
+        yield from leave()
 
     find_package(texts.sparkSession)
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
