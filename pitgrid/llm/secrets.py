@@ -144,10 +144,12 @@ def _decode(run: str) -> bytes:
 
 def _pem_keys(text: str) -> list[tuple[str, int, int]]:
     out, free = [], 0
-    for m in _pem.finditer(text):
+    begins = list(_pem.finditer(text))
+    # a body ends before the next beginning, so no part of the text is read for two of them
+    for m, limit in zip(begins, [*(n.start() for n in begins[1:]), len(text)], strict=True):
         if m.start() < free:
             continue
-        body = _pem_body.match(text, m.end())
+        body = _pem_body.match(text, m.end(), limit)
         if not body or body.group(1) != m.group(1):
             continue
         lines = re.split(r"[\r\n]+|\\r|\\n", body.group()[: body.group().rindex("-----END")])
@@ -160,17 +162,30 @@ def _pem_keys(text: str) -> list[tuple[str, int, int]]:
 
 
 def _base64_keys(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out, free = [], 0
+    out, free, block = [], 0, 0
+    taken = iter([*taken, ("", len(text), len(text))])
+    _, begin, end = next(taken)
     for m in _b64.finditer(text):
         at = m.start()
-        if at < free or any(s <= at < e for _, s, e in taken):
+        while at >= end:
+            _, begin, end = next(taken)
+        if at < free or begin <= at < end:
             continue
-        head = base64.b64decode(text[at : at + 12])
+        if at >= block:  # end of the run of base64 lines that holds this place
+            block = _b64_more.match(text, at).end()
+        head = base64.b64decode(text[at : at + 24])
         if head[0] == 0x30:  # the outer length says how far to read
             n = head[1] & 0x7F
             size = 2 + head[1] if head[1] < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n <= 4 else 0
+            inner = head[2:] if head[1] < 0x80 else head[2 + n :]
+            # a key begins with a version number or, sealed, with its algorithm; and it must lie within its lines
+            if not (inner[:3] in (b"\x02\x01\x00", b"\x02\x01\x01") or inner[:1] == b"\x30") or 4 * (size // 3) > block - at:
+                continue
         else:
-            size = len(_b64_more.match(text, at).group())
+            # the name of the cipher comes first: a few characters
+            if int.from_bytes(base64.b64decode(text[at : at + 28])[15:19], "big") > 64:
+                continue
+            size = block - at
         chars, stop, run = -(-size // 3) * 4, at, []
         more = _b64_more.match(text, at, min(len(text), at + 2 * chars + 64)).group()
         for line in re.findall(r"[A-Za-z0-9+/=]+|[\r\n]+", more):
