@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -380,11 +382,38 @@ def factor_snapshot(membership, instruments, fundamentals, estimates, prices, da
     return factor_score(factor_families(sector_neutral_zscores(raw.select(*keep), FEATURES)))
 
 
+def price_sources(prices: DataFrame, members: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(signal_date, source_file_id): files whose bars the price features of a date read, those of members and of the benchmark.
+
+    Per company and file the newest bar that was public on each day is carried forward; it tells whether the window held one.
+    """
+    daily = price_precedence(prices).withColumn("seen", F.greatest("price_date", F.to_date("effective_at")))
+    key = ["company_id", "source_file_id"]
+    newest = daily.groupBy(*key, "seen").agg(F.max("price_date").alias("bar"))
+    newest = newest.withColumn("bar", F.max("bar").over(W.partitionBy(*key).orderBy("seen").rowsBetween(W.unboundedPreceding, 0)))
+    held = daily.select(*key).distinct()
+    bench = daily.where(F.col("ticker") == BENCHMARK_TICKER).select(*key, F.lit(1).alias("_k")).distinct()
+    asks = members.select("signal_date", "company_id").distinct().join(held, "company_id").select("signal_date", *key)
+    asks = asks.union(members.select("signal_date", F.lit(1).alias("_k")).distinct().join(bench, "_k").select("signal_date", *key))
+    hit = asof_join(asks, newest, key, "signal_date", "seen", ["bar"])
+    return hit.where(F.col("bar") >= F.date_sub("signal_date", lookback_days)).select("signal_date", "source_file_id").distinct()
+
+
+def change_sources(estimates: DataFrame, dates: DataFrame) -> DataFrame:
+    """(signal_date, source_file_id): files of the estimates of the last four months that were public on the date."""
+    rows = estimates.where(F.col("metric") == "eps_estimate").select("source_file_id", "as_of_date", F.greatest("as_of_date", F.to_date("effective_at")).alias("seen")).distinct()
+    until = F.last_day(F.add_months("as_of_date", 4))
+    rows = rows.where(F.col("seen") <= until).withColumn("month", F.explode(F.sequence(F.trunc("seen", "month"), F.trunc(until, "month"), F.expr("INTERVAL 1 MONTH"))))
+    asked = dates.select("signal_date").distinct().withColumn("month", F.trunc("signal_date", "month"))
+    hit = asked.join(rows, "month").where((F.col("seen") <= F.col("signal_date")) & (F.col("as_of_date") >= F.add_months("signal_date", -4)))
+    return hit.select("signal_date", "source_file_id").distinct()
+
+
 def snapshot_hash(snapshot: DataFrame, facts: DataFrame) -> DataFrame:
-    """F16: SHA-256 over date, source ids and companies of a snapshot.
+    """F16: SHA-256 over date, source ids, companies and factor families of a snapshot.
 
     Long id lists are not collected: each id is hashed on its own and the hashes are summed
-    (order-free), then hashed together with the counts. ``facts`` has signal_date, source_file_id.
+    (order-free), then hashed together with the counts. ``facts`` has signal_date, source_file_id of all that a snapshot reads.
     """
     def digest(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.select("signal_date", col).distinct().groupBy("signal_date").agg(
@@ -394,16 +423,32 @@ def snapshot_hash(snapshot: DataFrame, facts: DataFrame) -> DataFrame:
     a = digest(snapshot, "company_id", "companies")
     b = digest(facts, "source_file_id", "sources")
     payload = F.to_json(F.struct(
-        F.col("signal_date").cast("string").alias("as_of_date"), "companies", "n_companies", "n_sources", "sources",
+        F.col("signal_date").cast("string").alias("as_of_date"), "companies", F.lit(families_digest()).alias("families"), "n_companies", "n_sources", "sources",
     ))
     return a.join(b, "signal_date", "left").select("signal_date", "n_companies", "n_sources", F.sha2(payload, 256).alias("source_snapshot_hash"))
 
 
-def persist_observations(snapshot: DataFrame) -> DataFrame:
-    """rows to store: scored companies with their raw features packed as JSON."""
-    packed = F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"})
-    return snapshot.where(F.col("factor_score").isNotNull()).select(
-        "company_id", "ticker", F.col("signal_date").alias("as_of_date"), "sector", packed.alias("feature_json"), "factor_score"
+def families_digest() -> str:
+    """SHA-256 of the factor families as sorted JSON."""
+    return hashlib.sha256(json.dumps(FACTOR_FAMILIES, sort_keys=True).encode()).hexdigest()
+
+
+# Columns of a stored observation.
+MODEL_COLUMNS = ("elastic_score", "tree_score", "ml_score", "ensemble_score", "next_month_excess_return")
+
+
+def persist_observations(snapshot: DataFrame, hashes: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """rows to store: scored companies with their raw features packed as JSON and the hash of their snapshot.
+
+    ``hashes`` has signal_date, source_snapshot_hash; ``scored`` (signal_date, company_id) may bring any of ``MODEL_COLUMNS``, the others are NULL.
+    """
+    rows = snapshot.where(F.col("factor_score").isNotNull()).join(hashes.select("signal_date", "source_snapshot_hash"), "signal_date", "left")
+    if scored is not None:
+        rows = rows.drop(*MODEL_COLUMNS).join(scored.select("signal_date", "company_id", *[c for c in MODEL_COLUMNS if c in scored.columns]), ["signal_date", "company_id"], "left")
+    packed = F.to_json(F.struct(*sorted(FEATURES)), {"ignoreNullFields": "false"})
+    return ensure_columns(rows, MODEL_COLUMNS).select(
+        "company_id", "ticker", F.col("signal_date").alias("as_of_date"), "sector", packed.alias("feature_json"), F.col("factor_score").cast("double"),
+        *[F.col(c).cast("double") for c in MODEL_COLUMNS], "source_snapshot_hash",
     )
 
 

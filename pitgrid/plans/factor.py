@@ -181,7 +181,7 @@ def f09(t):
 
 # a bar counts from the day it was published
 step("asset_rows", f"""
-  SELECT s.signal_date, p.company_id, p.ticker, p.price_date, p.adjusted_close, p.adjusted_close / lag(p.adjusted_close) OVER w - 1 AS ret,
+  SELECT s.signal_date, p.company_id, p.ticker, p.price_date, p.adjusted_close, p.source_file_id, p.adjusted_close / lag(p.adjusted_close) OVER w - 1 AS ret,
          row_number() OVER (PARTITION BY s.signal_date, p.company_id ORDER BY p.price_date DESC) AS back, count(*) OVER (PARTITION BY s.signal_date, p.company_id) AS n
   FROM signals s JOIN prices_best p ON p.price_date BETWEEN s.signal_date - {LOOKBACK} AND s.signal_date AND p.effective_at < s.signal_date + INTERVAL 1 DAY
   WINDOW w AS (PARTITION BY s.signal_date, p.company_id ORDER BY p.price_date)""")
@@ -265,26 +265,41 @@ def f15(t):
 DIGEST = " || '-' || ".join(f"CAST(CAST(sum(CAST(concat('0x', sha256({{0}})[{1 + 8 * i}:{8 + 8 * i}]) AS HUGEINT)) AS HUGEINT) AS VARCHAR)" for i in range(8))
 
 
-@query("F16_snapshot_hash", "signal_date:d n_companies:i n_sources:i source_snapshot_hash:s", f"""
+step("read_sources", """
+  SELECT signal_date, source_file_id FROM visible_fund UNION SELECT signal_date, source_file_id FROM visible_est
+  UNION SELECT s.signal_date, e.source_file_id FROM signals s JOIN estimates e ON e.metric = 'eps_estimate' AND e.as_of_date BETWEEN s.signal_date - INTERVAL 4 MONTH AND s.signal_date
+        AND e.effective_at < s.signal_date + INTERVAL 1 DAY
+  UNION SELECT a.signal_date, a.source_file_id FROM asset_rows a JOIN universe u ON u.signal_date = a.signal_date AND (u.company_id = a.company_id OR a.ticker = 'SPY')""")
+step("hashes", f"""
   SELECT a.signal_date, n_companies, n_sources, sha256(concat('{{"as_of_date":"', CAST(a.signal_date AS VARCHAR), '","companies":"', companies,
-         '","n_companies":', n_companies, ',"n_sources":', n_sources, ',"sources":"', sources, '"}}')) AS source_snapshot_hash
+         '","families":"{factors.families_digest()}","n_companies":', n_companies, ',"n_sources":', n_sources, ',"sources":"', sources, '"}}')) AS source_snapshot_hash
   FROM (SELECT signal_date, count(*) AS n_companies, {DIGEST.format('company_id')} AS companies
         FROM (SELECT DISTINCT signal_date, company_id FROM universe) u GROUP BY signal_date) a
-  JOIN (SELECT signal_date, count(*) AS n_sources, {DIGEST.format('source_file_id')} AS sources
-        FROM (SELECT DISTINCT signal_date, source_file_id FROM visible_fund UNION SELECT signal_date, source_file_id FROM visible_est) u GROUP BY signal_date) b
-  ON b.signal_date = a.signal_date""")
-def f16(t):
+  JOIN (SELECT signal_date, count(*) AS n_sources, {DIGEST.format('source_file_id')} AS sources FROM read_sources GROUP BY signal_date) b ON b.signal_date = a.signal_date""")
+
+
+def hashes(t):
     cols = ["signal_date", "source_file_id"]
+    members = asof.universe_asof(t.index_membership, t.instruments, t.signals)
     facts = asof.latest_asof_facts(t.fundamentals, t.signals, "period_end").select(*cols).unionByName(
         asof.latest_asof_facts(t.estimates, t.signals, "fiscal_period").select(*cols))
-    return factors.snapshot_hash(asof.universe_asof(t.index_membership, t.instruments, t.signals), facts)
+    read = facts.unionByName(factors.change_sources(t.estimates, t.signals)).unionByName(factors.price_sources(t.prices, members, LOOKBACK))
+    return factors.snapshot_hash(members, read)
+
+
+@query("F16_snapshot_hash", "signal_date:d n_companies:i n_sources:i source_snapshot_hash:s", "SELECT * FROM hashes")
+def f16(t):
+    return hashes(t)
 
 
-@query("F17_persist_observations", "as_of_date:d company_id:s ticker:s factor_score:f roic:f beta_252d:f n_features:i", f"""
-  SELECT signal_date AS as_of_date, company_id, ticker, factor_score, roic, beta_252d, {len(FEATURES)} AS n_features
-  FROM scored WHERE factor_score IS NOT NULL""")
+@query("F17_persist_observations", "as_of_date:d company_id:s ticker:s sector:s factor_score:f elastic_score:f tree_score:f ml_score:f ensemble_score:f next_month_excess_return:f source_snapshot_hash:s "
+       "roic:f beta_252d:f n_features:i", f"""
+  SELECT s.signal_date AS as_of_date, s.company_id, s.ticker, s.sector, s.factor_score, p.factor_quality AS elastic_score, p.factor_low_risk AS tree_score, NULL AS ml_score, NULL AS ensemble_score,
+         p.next_month_excess_return, h.source_snapshot_hash, s.roic, s.beta_252d, {len(FEATURES)} AS n_features
+  FROM scored s LEFT JOIN labelled p ON p.signal_date = s.signal_date AND p.company_id = s.company_id LEFT JOIN hashes h ON h.signal_date = s.signal_date WHERE s.factor_score IS NOT NULL""")
 def f17(t):
-    out = factors.persist_observations(snapshot(t))
+    scored = t.labelled.select("signal_date", "company_id", F.col("factor_quality").alias("elastic_score"), F.col("factor_low_risk").alias("tree_score"), "next_month_excess_return")
+    out = factors.persist_observations(snapshot(t), hashes(t), scored)
     return out.withColumns({
         "roic": F.get_json_object("feature_json", "$.roic").cast("double"),
         "beta_252d": F.get_json_object("feature_json", "$.beta_252d").cast("double"),
