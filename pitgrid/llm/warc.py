@@ -26,9 +26,9 @@ from pitgrid.llm.common import find_package
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs (fixed value)
 COLUMNS = "record_type string, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-#: condition column -> record header
-HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "url": "WARC-Target-URI", "date": "WARC-Date", "page_id": "X-Page-ID",
-           "payload_digest": "WARC-Payload-Digest", "refers_to": "X-Refers-To-Page"}
+#: condition column -> record header; names of headers have no case
+HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "url": "warc-target-uri", "date": "warc-date", "page_id": "x-page-id",
+           "payload_digest": "warc-payload-digest", "refers_to": "x-refers-to-page"}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _LENGTH_FIELD = b"PL"  # two-byte name and, in 8 bytes, the whole length of the member
 
@@ -46,17 +46,23 @@ def record_id(page_id: int | None, url: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'{page_id}:{url}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to: int | None, date: str) -> bytes:
-    """One record: a response with its payload, or a revisit without."""
+def target(page_id: int | None, url: str | None) -> str:
+    """URL without white space, or a name made of the id."""
+    return "".join((url or "").split()) or f"urn:page:{page_id}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to: int | None, date: str, refers_url: str | None = None) -> bytes:
+    """One record: a response with its payload, or a revisit without, which names the record it refers to."""
     kind = "response" if refers_to is None else "revisit"
     block = _HTTP + (payload or b"") if refers_to is None else _HTTP
-    url = "".join((url or "").split()) or f"urn:page:{page_id}"
+    url = target(page_id, url)
     lines = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, url)), ("WARC-Date", date), ("WARC-Target-URI", url),
              ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", size)]
     if page_id is not None:
         lines.append(("X-Page-ID", page_id))
     if refers_to is not None:
-        lines += [("WARC-Profile", REVISIT), ("X-Refers-To-Page", refers_to)]
+        first = target(refers_to, refers_url)
+        lines += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to, first)), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", refers_to)]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*lines, ("Content-Length", len(block))]) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
@@ -72,11 +78,12 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 def _parse_head(head: bytes) -> dict[str, str]:
+    """Headers by their names in lower case."""
     found = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            found[name] = value.strip()
+            found[name.strip().lower()] = value.strip()
     return found
 
 
@@ -117,7 +124,7 @@ def records(file, size: int, zipped: bool, wanted) -> Iterator[tuple[dict[str, s
                 src.need(len(src.data) + 1)
             head, _, _ = src.data.partition(b"\r\n\r\n")
             headers = _parse_head(head)
-            n = int(headers.get("Content-Length", 0))
+            n = int(headers.get("content-length", 0))
             src.drop(len(head) + 4)
             choice = wanted(headers)
             if choice:
@@ -127,8 +134,9 @@ def records(file, size: int, zipped: bool, wanted) -> Iterator[tuple[dict[str, s
             src.drop(n + 4)
             continue
         start = src.data
-        length = int.from_bytes(start[16:24], "little") if start[3] & 4 and start[12:14] == _LENGTH_FIELD and len(src.need(24)) >= 24 else 0
-        length = int.from_bytes(src.data[16:24], "little") if length or start[12:14] == _LENGTH_FIELD else 0
+        # the field counts only where the header says that there are extra fields
+        told = start[3] & 4 and start[12:14] == _LENGTH_FIELD and len(src.need(24)) >= 24
+        length = int.from_bytes(src.data[16:24], "little") if told else 0
         z = zlib.decompressobj(31)
         if length:
             # headers come from the first piece; the rest is inflated only if wanted
@@ -143,7 +151,7 @@ def records(file, size: int, zipped: bool, wanted) -> Iterator[tuple[dict[str, s
             choice = wanted(headers)
             if choice:
                 body = zlib.decompress(src.need(length)[:length], 31)[at + 4 :]
-                yield headers, body[: int(headers["Content-Length"])]
+                yield headers, body[: int(headers.get("content-length", 0))]
             elif choice is None:
                 yield headers, None
             src.drop(length)
@@ -163,7 +171,7 @@ def records(file, size: int, zipped: bool, wanted) -> Iterator[tuple[dict[str, s
                 raise ValueError("the archive ends inside a record")
         if headers is not None and choice:
             at = text.index(b"\r\n\r\n") + 4
-            yield headers, text[at : at + int(headers["Content-Length"])]
+            yield headers, text[at : at + int(headers.get("content-length", 0))]
         elif headers is not None and choice is None:
             yield headers, None
 
@@ -208,16 +216,24 @@ class WarcReader(DataSourceReader):
         def wanted(headers):
             if any(headers.get(h) not in values for h, values in self.tests):
                 return False
-            return True if self.payload and headers.get("WARC-Type") == "response" else None
+            return True if self.payload and headers.get("warc-type") == "response" else None
 
         number = lambda v: None if v is None else int(v)
         for path, size in partition.files:
             with fs.open_input_file(path) as file:
                 for h, block in records(file, size, path.endswith(".gz"), wanted):
-                    payload = None if block is None else block[block.index(b"\r\n\r\n") + 4 :]
-                    yield (h["WARC-Type"], h["WARC-Record-ID"], number(h.get("X-Page-ID")), h.get("WARC-Target-URI"), h.get("WARC-Date"),
-                           len(payload) if payload is not None else number(h.get("X-Payload-Length")),
-                           digest(payload) if payload is not None else h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), number(h.get("X-Refers-To-Page")), payload)
+                    payload = None if block is None else payload_of(h, block)
+                    yield (h.get("warc-type"), h.get("warc-record-id"), number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-date"),
+                           len(payload) if payload is not None else number(h.get("x-payload-length")),
+                           digest(payload) if payload is not None else h.get("warc-payload-digest", "").removeprefix("sha1:"), number(h.get("x-refers-to-page")), payload)
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """Body of an HTTP message; the whole block of any other record (or of a message that has no body)."""
+    if not headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        return block
+    head, end, body = block.partition(b"\r\n\r\n")
+    return body if end or head.startswith(b"HTTP/") else block
 
 
 @dataclass
@@ -226,7 +242,7 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows of page_id, url, payload, payload_bytes, sha1 (hex), refers_to."""
+    """Rows of page_id, url, payload, payload_bytes, sha1 (hex), refers_to, refers_url."""
 
     def __init__(self, options):
         self.path, self.date, self.roll = options["path"], options.get("date", "1970-01-01T00:00:00Z"), int(options.get("rollBytes", 256 << 20))
@@ -241,7 +257,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if sink is None:
                     files.append(f"{path}/_part-{uuid.uuid4().hex}.warc.gz")
                     sink, size = fs.open_output_stream(files[-1], compression=None), 0
-                data = member(record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], base64.b32encode(bytes.fromhex(row["sha1"])).decode(), row["refers_to"], self.date))
+                data = member(record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], base64.b32encode(bytes.fromhex(row["sha1"])).decode(), row["refers_to"], self.date, row["refers_url"]))
                 sink.write(data)
                 size += len(data)
                 if size >= self.roll:
@@ -294,12 +310,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     register(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("sha1"))
-    light = stage(rows.select("page_id", "sha1", "payload_bytes"), "digests")
-    groups = light.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
-    again = light.join(groups, "sha1").where("page_id IS NULL OR page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("first").alias("refers_to")).distinct()
+    light = stage(rows.select("page_id", "url", "sha1", "payload_bytes"), "digests")
+    groups = light.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1 AND f IS NOT NULL").select("sha1", F.col("f.page_id").alias("first"), F.col("f.url").alias("refers_url"))
+    again = light.join(groups, "sha1").where("page_id IS NULL OR page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("first").alias("refers_to"), "refers_url").distinct()
     again = stage(again, "revisits")
     out = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
-    out = out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", "refers_to")
+    out = out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", "refers_to", "refers_url")
     out.write.format("warc").mode("append").save(path)
 
 

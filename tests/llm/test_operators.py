@@ -387,6 +387,31 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_archives_of_others_are_read(spark, tmp_path):
+    """Records by hand: names in lower case, a response that is not HTTP, no digest, a gzip member whose name looks like the length field."""
+    import gzip
+
+    def entry(kind, content, body, *more):
+        return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-RECORD-ID: <urn:x:{len(body)}>\r\n{''.join(f'{m}\r\n' for m in more)}content-type: {content}\r\nContent-length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    http = entry("response", "Application/HTTP; msgtype=response", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody", "warc-target-uri: http://a/")
+    dns = entry("response", "text/dns", b"2020 a. 1 IN A 1.2.3.4")
+    info = entry("warcinfo", "application/warc-fields", b"software: x")
+    named = bytearray(gzip.compress(dns, mtime=0))
+    named[3] |= 8  # a file name follows the ten bytes of the header
+    named[10:10] = b"xyPLabcdefghijk\0"
+    assert named[12:14] == b"PL"
+    (tmp_path / "a.warc").write_bytes(info + http + dns)
+    (tmp_path / "b.warc.gz").write_bytes(bytes(named) + gzip.compress(http))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    want = [("response", b"body", "http://a/"), ("response", b"2020 a. 1 IN A 1.2.3.4", None)]
+    assert sorted((r.record_type, bytes(r.payload), r.url) for r in got if r.record_type == "response") == sorted(want * 2, key=str)
+    assert all(r.payload_bytes == len(r.payload) and r.payload_digest == warc.digest(bytes(r.payload)) for r in got if r.payload is not None)
+    assert warc.read_archives(spark, str(tmp_path)).where("record_type = 'warcinfo'").count() == 1
+    again = warc.record(8, "http://y", None, 3, "D", 7, "2020-01-01T00:00:00Z", "http://x").decode()
+    assert f"WARC-Refers-To: {warc.record_id(7, 'http://x')}\r\n" in again and "WARC-Refers-To-Target-URI: http://x\r\n" in again
+
+
 def counts(t):
     t = t or ""
     w = words(t)
