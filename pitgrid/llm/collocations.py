@@ -1,8 +1,8 @@
 """Phrase collocations: frequent n-grams by mergeable Misra-Gries summaries, then counted exactly and scored by their weakest cut.
 
 A summary with c counters loses at most mass / (c + 1) of any count, also when it is merged from parts. N-grams are dealt to hash partitions, each
-with its own summary of ``SPARE`` x mass / threshold counters and its own record of what it lost: every n-gram with ``least`` occurrences survives, and few others
-do. A further pass over the texts counts the survivors exactly.
+with its own summary, which takes more counters before it would lose ``least`` / ``SPARE`` (so it has more than mass / threshold) and records what it
+lost: every n-gram with ``least`` occurrences survives, and few others do. A further pass over the texts counts the survivors exactly.
 
 An n-gram that frequent has frequent parts, so the summaries are made level by level: words, then pairs of surviving
 words, then runs of surviving pairs. What the levels before let through is tested in a bit table of fixed size; a false hit adds work and changes no result.
@@ -27,10 +27,12 @@ TABLE_BITS = 27
 BUFFER = 1 << 20
 #: Phrases that a task holds before they leave it.
 HELD = 1 << 18
-#: Occurrences that a hash partition takes on average; its summary holds mass / threshold counters.
-PART_MASS = 1 << 22
-#: Counters of a summary, as a multiple of the least number that keeps every frequent n-gram.
-SPARE = 4
+#: Hash partitions of the n-grams; a task has some of them, each with a summary of its own.
+PARTS = 4096
+#: Counters that a summary begins with.
+COUNTERS = 1 << 10
+#: A summary loses less than this part of the threshold.
+SPARE = 8
 #: Words that a task remembers the hashes of.
 KNOWN = 1 << 18
 
@@ -185,31 +187,37 @@ def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
 
 
 class Summary:
-    """Misra-Gries counters of one hash partition; ``merge`` takes counts in any order and in parts. A count is too low by ``lost`` at most."""
+    """Misra-Gries counters of one hash partition; ``merge`` takes counts in any order and in parts. A count is too low by ``lost`` at most.
 
-    def __init__(self, counters: int):
-        self.counters, self.lost = counters, 0
+    The counters exceed mass / threshold by construction: where lowering them all once more would lose ``allowed`` or more, their number doubles instead.
+    """
+
+    def __init__(self, allowed: int, counters: int = COUNTERS):
+        self.allowed, self.counters, self.lost = allowed, counters, 0
         self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def merge(self, keys: np.ndarray, n: np.ndarray) -> None:
         keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
         keys, at = np.unique(keys, return_inverse=True)
         n = np.bincount(at, weights=n).astype(np.int64) if len(at) else n[:0]
-        if len(keys) > self.counters:
+        while len(keys) > self.counters:
             # all counters are lowered by the largest that has to go
             less = int(np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1])
+            if self.lost + less >= self.allowed:
+                self.counters *= 2
+                continue
             keys, n = keys[n > less], n[n > less] - less
             self.lost += less
         self.keys, self.n = keys, n
 
 
 def survivors(counts: DataFrame, least: int) -> DataFrame:
-    """(h): a superset of the hashes that ``counts`` (h, n) gives ``least`` occurrences in all."""
-    counts = stage(counts, "ngram-counts")
-    mass = counts.agg(F.sum("n")).first()[0] or 0
-    parts = max(64, 1 << max(0, (mass // PART_MASS).bit_length()))
-    part = F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")
-    sizes = {r["part"]: r["mass"] for r in counts.groupBy(part.alias("part")).agg(F.sum("n").alias("mass")).collect()}
+    """(h): a superset of the hashes that ``counts`` (h, n) gives ``least`` occurrences in all.
+
+    Counts go to the summaries of their hash partitions in one shuffle. A summary loses less than ``least / SPARE`` of any count; a hash
+    whose count could not reach ``least`` even with that is left out.
+    """
+    allowed = max(1, least // SPARE)
 
     def run(batches):
         summaries: dict[int, Summary] = {}
@@ -221,13 +229,12 @@ def survivors(counts: DataFrame, least: int) -> DataFrame:
             p, h, n = p[order], h[order], n[order]
             starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(p)], strict=True):
-                at = int(p[lo])
-                summaries.setdefault(at, Summary(SPARE * sizes[at] // least + 1)).merge(h[lo:hi], n[lo:hi])
+                summaries.setdefault(int(p[lo]), Summary(allowed)).merge(h[lo:hi], n[lo:hi])
             waiting.clear()
 
         for batch in batches:
             waiting.append(batch)
-            if sum(b.num_rows for b in waiting) >= 1 << 19:
+            if sum(b.num_rows for b in waiting) >= 1 << 20:
                 merge()
         if waiting:
             merge()
@@ -237,6 +244,7 @@ def survivors(counts: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 65536])], names=["h"])
 
     find_package(counts.sparkSession)
+    part = F.pmod("h", F.lit(PARTS)).cast("int")
     return counts.select(part.alias("part"), "h", "n").repartition("part").mapInArrow(run, "h long")
 
 
