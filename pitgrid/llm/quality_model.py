@@ -130,4 +130,5 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str
 
 
 def held_out(doc_id) -> Column:
-    return (F.crc32(F.col(doc_id).cast("string")) % 5) == 0
+    """Whether a row's label is kept from training: crc32 of its id as text leaves no remainder by 5. A null id is not held out (and never trained on)."""
+    return F.coalesce((F.crc32(F.col(doc_id).cast("string")) % 5) == 0, F.lit(False))

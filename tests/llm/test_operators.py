@@ -113,6 +113,7 @@ def test_quality_scores(spark, odd, empty):
     model = quality_model.train(odd, none)
     assert {r.score for r in quality_model.scores(odd, model).collect()} == {0.5}
     assert quality_model.scores(empty, model).count() == 0
+    assert [r.h for r in odd.where("doc_id IS NULL").select(quality_model.held_out("doc_id").alias("h")).collect()] == [False]
 
 
 def _der(tag, body):
