@@ -286,8 +286,3 @@ def usage_totals(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Calls and tokens."""
     return calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
-
-
-def newest_record(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest document record per key."""
-    return latest(df, keys, order)

@@ -81,7 +81,8 @@ def q04(t):
 
 
 @query("Q05_membership_span", "first_member:d last_member:d open_spells:i verdict:s",
-       "SELECT min(member_from) AS first_member, max(member_to) AS last_member, count(*) FILTER (WHERE member_to IS NULL) AS open_spells, 'ok' AS verdict FROM index_membership")
+       f"""SELECT *, CASE WHEN first_member IS NULL THEN 'missing' WHEN first_member > DATE '{START}' THEN 'begins after' WHEN open_spells = 0 AND last_member < DATE '{END}' THEN 'ends before' ELSE 'ok' END AS verdict
+  FROM (SELECT min(member_from) AS first_member, max(member_to) AS last_member, count(*) FILTER (WHERE member_to IS NULL) AS open_spells FROM index_membership) m""")
 def q05(t):
     return quality.membership_span(t.index_membership, *window())
 
@@ -93,7 +94,9 @@ def q06(t):
     return quality.price_span(t.prices, *window())
 
 
-@query("Q07_freshness_span", "first:d last:d verdict:s", "SELECT CAST(min(effective_at) AS DATE) AS first, CAST(max(effective_at) AS DATE) AS last, 'ok' AS verdict FROM fundamentals")
+@query("Q07_freshness_span", "first:d last:d verdict:s", f"""
+  SELECT *, CASE WHEN first IS NULL THEN 'missing' WHEN first > DATE '{START}' THEN 'begins after' WHEN last < DATE '{END}' - INTERVAL 15 MONTH THEN 'ends too early' ELSE 'ok' END AS verdict
+  FROM (SELECT CAST(min(effective_at) AS DATE) AS first, CAST(max(effective_at) AS DATE) AS last FROM fundamentals) f""")
 def q07(t):
     return quality.freshness_span(t.fundamentals, *window())
 

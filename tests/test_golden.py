@@ -284,3 +284,43 @@ def test_bars_published_later_change_nothing_before(spark):
     on_time = _market(spark, _bars({}), asks)
     assert got[days[0], "1"] != pytest.approx(on_time[days[0], "1"], rel=1e-9)
     assert got[days[2], "2"] == pytest.approx(on_time[days[2], "2"], rel=1e-9) and got[days[3], "1"][2] != pytest.approx(on_time[days[3], "1"][2], rel=1e-9)
+
+
+def test_sql_functions_are_registered(spark):
+    from pitgrid.functions.columns import register_sql_functions
+    register_sql_functions(spark)
+    r = spark.sql("SELECT safe_divide(1, 4) a, safe_divide(1, 0) b, winsor_z(9, 0, 5, 1, 2) c, winsor_z(1, 0, 5, 1, 0) d, winsor_z(NULL, 0, 5, 1, 2) e").first()
+    assert tuple(r) == (0.25, None, 2.0, 0.0, None)
+
+
+@pytest.mark.parametrize("start,end,spans,facts", [
+    ("2020-01-01", "2022-01-01", "ends before", "ok"), ("2019-01-01", "2020-06-30", "begins after", "begins after"), ("2020-01-01", "2023-01-01", "ends before", "ends too early"), ("2020-01-01", "2021-01-01", "ok", "ok")])
+def test_verdicts_of_spans(spark, start, end, spans, facts):
+    from pitgrid.operators import quality
+    at = [F.lit(x).cast("date") for x in (start, end)]
+    m = spark.createDataFrame([("SP500", D("2020-01-01"), D("2021-06-30"))], "index_code string, member_from date, member_to date")
+    assert quality.membership_span(m, *at).first().verdict == spans and quality.membership_span(m.limit(0), *at).first().verdict == "missing"
+    f = spark.createDataFrame([(ts("2020-01-01T00:00:00"),), (ts("2021-06-30T10:00:00"),)], "effective_at timestamp_ntz")
+    assert quality.freshness_span(f, *at).first().verdict == facts and quality.freshness_span(f.limit(0), *at).first().verdict == "missing"
+
+
+def test_membership_sweep_equals_a_scan_of_days(spark):
+    """Three classes of one company and one of another, opened and closed at random: the representative of every day, by a plain scan."""
+    import random
+    rng, events = random.Random(4), []
+    for t in ("A", "A.B", "A.C", "Z"):
+        for d in sorted(rng.sample(range(200), 12)):
+            events.append((t, D("2020-01-01") + timedelta(days=d), rng.choice(["added", "removed"])))
+    seed = ["A.B", "Z"]
+    ev = spark.createDataFrame(events, "ticker string, day date, action string")
+    sd = spark.createDataFrame([(t,) for t in seed], "ticker string")
+    cm = spark.createDataFrame([("A", "1"), ("Z", "2")], "ticker string, company_id string")
+    cl = spark.createDataFrame([("A", "A"), ("A.B", "A"), ("A.C", "A")], "ticker string, canonical string")
+    got = membership.membership_intervals(sd, ev, F.lit("2019-12-31").cast("date"), cm, cl).collect()
+    for company, tickers in (("1", ["A", "A.B", "A.C"]), ("2", ["Z"])):
+        for i in range(-1, 210):
+            day = D("2020-01-01") + timedelta(days=i)
+            on = [t for t in tickers if next((a == "added" for x, d, a in reversed(events) if x == t and d <= day), t in seed)]
+            want = None if not on else ("A" if "A" in on else "Z" if on == ["Z"] else min(on))
+            held = [r.ticker for r in got if r.company_id == company and r.member_from <= day and (r.member_to is None or day <= r.member_to)]
+            assert held == ([want] if want else []), (company, day)
