@@ -45,3 +45,19 @@ def test_join_of_days_keeps_rows_without_a_day(spark):
     days = spark.createDataFrame([(at(0), "x"), (at(0), "y"), (None, "z")], "d date, v string")
     got = {(r.id, r.d, r.v) for r in groups.join_days(rows, days, ["d"], "left").collect()}
     assert got == {(1, at(0), "x"), (1, at(0), "y"), (2, at(1), None), (3, None, None)}
+
+
+def test_lessons_of_others_come_from_one_list_per_date(spark):
+    draw = random.Random(5)
+    lessons = [(t, at(7 * n), at(7 * n + draw.randint(1, 40)) if draw.random() < 0.9 else None, "Hold") for t in "ABCDEF" for n in range(12)]
+    entries = spark.createDataFrame(lessons, "ticker string, trade_date date, resolved date, rating string")
+    asked = [(t, at(10 * n)) for t in "ABZ" for n in range(10)]
+    out = asof.lessons_asof(entries, spark.createDataFrame(asked, "ask_ticker string, as_of date"))
+    want = set()
+    for ask, day in asked:
+        known = sorted(((d, t) for t, d, r, _ in lessons if r is not None and r <= day), reverse=True)
+        for kind, n, rows in (("same", 5, [x for x in known if x[1] == ask]), ("cross", 3, [x for x in known if x[1] != ask])):
+            want |= {(ask, day, kind, i + 1, t, d) for i, (d, t) in enumerate(rows[:n])}
+    assert {(r.ask_ticker, r.as_of, r.kind, r["rank"], r.ticker, r.trade_date) for r in out.collect()} == want
+    # only the asks' own lessons are ordered per ask
+    assert optimized(out).count("windowspecdefinition(ask_ticker") == 1
