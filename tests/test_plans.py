@@ -61,3 +61,19 @@ def test_lessons_of_others_come_from_one_list_per_date(spark):
     assert {(r.ask_ticker, r.as_of, r.kind, r["rank"], r.ticker, r.trade_date) for r in out.collect()} == want
     # only the asks' own lessons are ordered per ask
     assert optimized(out).count("windowspecdefinition(ask_ticker") == 1
+
+
+def test_factor_correlation_joins_nothing_back(spark):
+    draw = random.Random(2)
+    rows = [(at(31 * d), f"c{i % 9}", draw.choice([None, 1.0, 2.0, 3.0]), draw.random(), 1.0 * i) for d in range(3) for i in range(12)]  # c0 to c2 stand twice
+    panel = spark.createDataFrame(rows, "signal_date date, company_id string, x double, y double, z double")
+    out = performance.factor_correlation(panel, ["x", "y", "z"])
+    assert sum(line.lstrip(" :+-").startswith("Join ") for line in optimized(out).splitlines()) == 2
+    # as with the ranks joined back to every row
+    want = []
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        long = panel.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").select("signal_date", "company_id", a, b)
+        ranked = groups.with_average_ranks(long, ["signal_date"], ["company_id"], {a: "r", b: "s"}, pct=False)
+        want.append((a, b, ranked.groupBy("signal_date").agg(F.corr("r", "s").alias("rho")).agg(F.avg("rho")).first()[0]))
+    got = {(r.a, r.b): r.rho for r in out.collect()}
+    assert got == {(a, b): pytest.approx(rho) for a, b, rho in want}
