@@ -73,7 +73,7 @@ def s04(t):
         bar = F.struct(F.concat(F.col("price_date").cast("string"), F.lit("T05:00:00Z")).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.when(F.col("volume") > 3, F.col("volume")).alias("v"))
         # a page holds a month of bars of one ticker
         page = t.prices_best.groupBy("ticker", F.trunc("price_date", "month").alias("m")).agg(F.collect_list(bar).alias("bars"))
-        page.select(F.lit(1).alias("batch"), F.month("m").alias("page"), F.struct(F.create_map(F.lower("ticker"), "bars").alias("bars"), F.lit(None).cast("string").alias("next_page_token")).alias("response")).write.json(path)
+        page.select(F.lit(1).alias("batch"), F.month("m").alias("page"), F.struct(F.create_map(F.lower("ticker"), "bars").alias("bars"), F.lit(None).cast("string").alias("next_page_token")).alias("response")).write.option("compression", "gzip").json(path)
 
     pages = t.spark.read.schema(readers.BARS_SCHEMA).json(once(t, "bars", write))
     return readers.flatten_bars_json(pages, symbol_rows(t), day("2002-01-01"))

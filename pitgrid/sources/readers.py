@@ -60,10 +60,11 @@ def bars_to_prices(rows: DataFrame, source: str, as_of: Column) -> DataFrame:
 
 def flatten_bars_json(pages: DataFrame, symbols: DataFrame, as_of: Column, source: str = "alpaca_iex_adjusted") -> DataFrame:
     """Pages of {ticker: [bars]} to price rows; unknown tickers dropped, missing volume 0."""
-    bars = pages.select("batch", "page", F.explode("response.bars").alias("_t", "_bars")).select(
-        "batch", "page", F.upper(F.trim("_t")).alias("ticker"), F.posexplode("_bars").alias("_pos", "b"))
+    lists = pages.select("batch", "page", F.explode("response.bars").alias("_t", "_bars")).withColumn("ticker", F.upper(F.trim("_t")))
+    # lists meet the symbols whole: a bar on its own would carry ticker and page through the shuffle
+    bars = lists.join(symbols.select("ticker", "company_id"), "ticker").select("batch", "page", "ticker", "company_id", F.posexplode("_bars").alias("_pos", "b"))
     price = F.col("b.c")
-    rows = bars.join(symbols.select("ticker", "company_id"), "ticker").select(
+    rows = bars.select(
         "company_id", "ticker", F.to_date(F.substring("b.t", 1, 10)).alias("price_date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"),
         price.alias("close"), price.alias("adjusted_close"), F.coalesce("b.v", F.lit(0.0)).alias("volume"), F.struct("batch", "page", "_pos").alias("_seq"))
     return bars_to_prices(rows, source, as_of)

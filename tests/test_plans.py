@@ -77,3 +77,14 @@ def test_factor_correlation_joins_nothing_back(spark):
         want.append((a, b, ranked.groupBy("signal_date").agg(F.corr("r", "s").alias("rho")).agg(F.avg("rho")).first()[0]))
     got = {(r.a, r.b): r.rho for r in out.collect()}
     assert got == {(a, b): pytest.approx(rho) for a, b, rho in want}
+
+
+def test_pages_of_bars_meet_the_symbols_whole(spark):
+    pages = spark.createDataFrame([(1, 1, '{"bars":{"a":[{"t":"2020-01-02T05:00:00Z","o":1,"h":2,"l":1,"c":2},{"t":"2020-01-03T05:00:00Z","o":1,"h":2,"l":1,"c":3,"v":7}],"q":[{"t":"2020-01-02T05:00:00Z","c":9}]}}'),
+                                   (1, 2, '{"bars":{" A ":[{"t":"2020-01-03T06:00:00Z","o":1,"h":2,"l":1,"c":4,"v":8}]}}')], "batch int, page int, body string")
+    kind = "bars map<string,array<struct<t:string,o:double,h:double,l:double,c:double,v:double>>>, next_page_token string"
+    pages = pages.select("batch", "page", F.from_json("body", kind).alias("response"))
+    out = readers.flatten_bars_json(pages, spark.createDataFrame([("A", "7")], "ticker string, company_id string"), F.lit("2020-02-01").cast("date"))
+    assert {(r.company_id, r.price_date, r.close, r.volume) for r in out.collect()} == {("7", at(1), 2.0, 0.0), ("7", at(2), 4.0, 8.0)}
+    plan = optimized(out)
+    assert plan.index("posexplode") < plan.index("Join Inner")  # the list is opened above the join
