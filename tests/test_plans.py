@@ -88,3 +88,9 @@ def test_pages_of_bars_meet_the_symbols_whole(spark):
     assert {(r.company_id, r.price_date, r.close, r.volume) for r in out.collect()} == {("7", at(1), 2.0, 0.0), ("7", at(2), 4.0, 8.0)}
     plan = optimized(out)
     assert plan.index("posexplode") < plan.index("Join Inner")  # the list is opened above the join
+
+
+def test_files_of_a_large_table_take_no_shuffle(spark):
+    rows = spark.range(100, numPartitions=8)
+    assert "Repartition 6, false" in optimized(incremental.dealt(rows, 6)) and incremental.dealt(rows, 6).count() == 100
+    assert "Repartition 6, true" in optimized(incremental.dealt(spark.range(5, numPartitions=2), 6))
