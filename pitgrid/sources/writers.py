@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitgrid.functions.groups import latest
+from pitgrid.functions.staging import stage
 from pitgrid.sources import lake
 from pitgrid.sources.contracts import UPSERT_KEYS
 
@@ -44,7 +45,8 @@ def source_register(existing: DataFrame, rows: DataFrame, keys: Sequence[str], a
     """One provenance row per file with its counts as metadata JSON, upserted on the id."""
     a = rows.groupBy(*keys).agg(F.count_if(F.col("verdict") == "valid").alias("row_count"), F.count_if(F.col("verdict") != "valid").alias("_rej"))
     meta = F.to_json(F.struct(F.when(F.col("row_count") > 0, "accepted").otherwise("rejected").alias("status"), F.col("_rej").alias("rejected_rows")))
-    new = a.select(*keys, "row_count", at.alias("imported_at"), meta.alias("metadata_json"))
+    # one row per file, used twice below: written, so that the rows are counted once
+    new = stage(a.select(*keys, "row_count", at.alias("imported_at"), meta.alias("metadata_json")), "register")
     return upsert_by_key(existing, new, ["source_file_id"], ["imported_at"])
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitgrid.operators import series
 from pitgrid.sources import writers
@@ -21,3 +22,13 @@ def test_long_means_come_from_short_frames(spark, n):
         for i in range(len(v)):
             some = [x for x in v[max(0, i - n + 1):i + 1] if x is not None]
             assert (got[s, i] is None) if not some else np.isclose(got[s, i], np.mean(some), rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_the_register_counts_its_rows_once(spark):
+    rows = spark.range(20).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("source_file_id"), F.lit("d").alias("dataset"), F.when(F.col("id") < 15, "valid").otherwise("bad").alias("verdict"))
+    at = F.lit("2002-01-01").cast("timestamp_ntz")
+    known = spark.createDataFrame([("f1", "d", 9, "old"), ("z", "d", 4, "kept")], "source_file_id string, dataset string, row_count long, metadata_json string").withColumn("imported_at", at)
+    known = known.select("source_file_id", "dataset", "row_count", "imported_at", "metadata_json")
+    out = writers.source_register(known, rows, ["source_file_id", "dataset"], at)
+    assert "Range (" not in out._jdf.queryExecution().toString()
+    assert {(r.source_file_id, r.row_count) for r in out.collect()} == {("f0", 5), ("f1", 5), ("f2", 5), ("z", 4)}
