@@ -12,6 +12,8 @@ import numpy as np
 
 BINS = 255
 MIN_LEAF = 20
+MASK_BITS = 16
+LOWEST_BIT = np.array([max((i & -i).bit_length() - 1, 0) for i in range(1 << MASK_BITS)], dtype=np.intp)
 NODE = np.dtype([("feature", "<i2"), ("cut", "<f8"), ("left", "<i4"), ("right", "<i4"), ("value", "<f8")])
 
 
@@ -43,12 +45,19 @@ def boost(x: np.ndarray, y: np.ndarray, rate: float, leaves: int, rounds: int, l
     start = float(y.mean())
     edges = [bin_edges(x[:, j]) for j in range(k)]
     width = max((len(e) for e in edges), default=0) + 1
-    place = np.stack([np.searchsorted(e, x[:, j]) + j * width for j, e in enumerate(edges)], axis=1) if k else np.zeros((n, 0), dtype=np.int64)
+    place = [np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)]
+    everything = np.arange(n)
+    counts = np.array([np.bincount(p, minlength=width) for p in place])  # of all rows, the same in every round
     fitted, nodes, roots = np.full(n, start), [], []
 
     def histograms(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = place[rows].ravel()
-        return np.bincount(at, np.repeat(grad[rows], k), k * width).reshape(k, width), np.bincount(at, minlength=k * width).reshape(k, width)
+        if rows is everything:
+            return np.array([np.bincount(p, grad, width) for p in place]), counts
+        some, sums, sizes = grad[rows], np.empty((k, width)), np.empty((k, width), dtype=np.int64)
+        for j, p in enumerate(place):
+            at = p[rows]
+            sums[j], sizes[j] = np.bincount(at, some, width), np.bincount(at, minlength=width)
+        return sums, sizes
 
     for _ in range(rounds if k else 0):
         grad = fitted - y
@@ -64,12 +73,11 @@ def boost(x: np.ndarray, y: np.ndarray, rate: float, leaves: int, rounds: int, l
                 heapq.heappush(open_, (-gain, number, f, b, hist))  # noqa: B023
             return number
 
-        everything = np.arange(n)
         roots.append(leaf(everything, histograms(everything, grad)))
         while open_ and len(members) < leaves:
             _, number, f, b, hist = heapq.heappop(open_)
             rows = members.pop(number)
-            low = place[rows, f] <= f * width + b
+            low = place[f][rows] <= b
             parts = [rows[low], rows[~low]]
             small = int(len(parts[1]) < len(parts[0]))
             hists = [None, None]
@@ -86,11 +94,46 @@ def boosted_scores(model: bytes, x: np.ndarray) -> np.ndarray:
     out = np.full(len(x), np.frombuffer(model, "<f8", 1)[0])
     trees = int(np.frombuffer(model, "<i8", 1, 8)[0])
     nodes = np.frombuffer(model, NODE, offset=16 + 8 * trees)
+    feature, cut, left, right, value = (np.ascontiguousarray(nodes[c]) for c in ("feature", "cut", "left", "right", "value"))
+    used = np.unique(feature[feature >= 0])
+    cuts = {j: np.unique(cut[feature == j]) for j in used}
+    bins = {j: np.searchsorted(cuts[j], x[:, j]) for j in used}  # x <= cut number i exactly where the bin is i or less
     every = np.arange(len(x))
     for root in np.frombuffer(model, "<i8", trees, 16):
+        ends, splits = leaves_of(int(root), feature, left, right)
+        if len(ends) <= MASK_BITS:
+            # a bit per leaf, from left to right: a cut passed on its right side clears the leaves on its left, the lowest bit left is the row's leaf
+            tables = {}
+            for node, first, middle in splits:
+                j = feature[node]
+                table = tables.setdefault(j, np.full(len(cuts[j]) + 1, (1 << len(ends)) - 1, dtype=np.uint16))
+                table[np.searchsorted(cuts[j], cut[node]) + 1 :] &= np.uint16(~((1 << middle) - (1 << first)) & 0xFFFF)
+            mask = np.full(len(x), 1, dtype=np.uint16) if not tables else None
+            for j, table in tables.items():
+                mask = table[bins[j]] if mask is None else mask & table[bins[j]]
+            out += value[ends][LOWEST_BIT[mask]]
+            continue
         at = np.full(len(x), root)
-        while len(some := every[nodes["feature"][at] >= 0]):
-            node = nodes[at[some]]
-            at[some] = np.where(x[some, node["feature"]] <= node["cut"], node["left"], node["right"])
-        out += nodes["value"][at]
+        while len(some := every[feature[at] >= 0]):
+            node = at[some]
+            at[some] = np.where(x[some, feature[node]] <= cut[node], left[node], right[node])
+        out += value[at]
     return out
+
+
+def leaves_of(root: int, feature: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Leaves of a tree from left to right, and its splits as (node, number of the first leaf below it, of the first one right of its cut)."""
+    ends: list[int] = []
+    splits: list[tuple[int, int, int]] = []
+
+    def visit(node: int) -> None:
+        if feature[node] < 0:
+            ends.append(node)
+            return
+        first = len(ends)
+        visit(left[node])
+        splits.append((node, first, len(ends)))
+        visit(right[node])
+
+    visit(root)
+    return ends, splits

@@ -10,13 +10,15 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pitgrid.functions.groups import quantiles, with_average_ranks
+from pitgrid.functions.groups import prefix_quantiles, quantiles, with_average_ranks
 from pitgrid.functions.staging import stage
 from pitgrid.operators.boosting import boost, boosted_scores
 from pitgrid.session import importable
@@ -123,8 +125,7 @@ def training_sets(panel: DataFrame, ends: Sequence[datetime.date], features: Seq
     pairs = [(i, j) for i in range(len(parts)) for j in range(i + 1)]
     sums = named.groupBy("signal_date").agg(*[F.sum(F.col(f"p{i}") * F.col(f"p{j}")).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # one row per month
     long = known.select("signal_date", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["signal_date"], features, "f", "v")
-    later = F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e > F.col("signal_date"))
-    med = quantiles(long.where("v IS NOT NULL").select("f", "v", F.explode(later).alias("end")), ["end", "f"], "v", {"med": 0.5}).collect()
+    med = prefix_quantiles(long, ["f"], "signal_date", ends, "v", {"med": 0.5}).collect()
     medians = {(r["end"], r["f"]): r["med"] for r in med}
     out = {}
     for end in ends:
@@ -249,9 +250,11 @@ def select_params(panel: DataFrame, ends: Sequence[datetime.date], features: Seq
                             out.append((end, "tree", *map(float, p), float(np.abs(boosted_scores(trees[core, *p], x[:, seen[core]]) - y).sum()), len(y)))
             yield pd.DataFrame(out, columns=["end", "kind", "a", "b", "error", "n"])
 
-    rows = panel.where(F.col(target).isNotNull()).select("signal_date", *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
+    validating = [F.col("signal_date").between(core, end) for core, end in spans]
+    rows = panel.where(F.col(target).isNotNull() & reduce(or_, validating, F.lit(False))).select("signal_date", *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
     importable(panel.sparkSession)
-    found = rows.mapInPandas(errors, "end date, kind string, a double, b double, error double, n long").groupBy("end", "kind", "a", "b").agg((F.sum("error") / F.sum("n")).alias("mae")).collect()
+    # in order of the dates a batch meets few models
+    found = rows.sortWithinPartitions("signal_date").mapInPandas(errors, "end date, kind string, a double, b double, error double, n long").groupBy("end", "kind", "a", "b").agg((F.sum("error") / F.sum("n")).alias("mae")).collect()
     mae = {(r["end"], r["kind"], r["a"], r["b"]): r["mae"] for r in found}
     out = {}
     for end, core in first.items():
@@ -303,7 +306,8 @@ def predict(panel: DataFrame, asks: dict[datetime.date, Selection], features: Se
     rows = panel.where(F.col("signal_date").isin(list(asks))) if asks else panel.limit(0)
     importable(panel.sparkSession)
     rows = rows.select("signal_date", "company_id", *[F.col(f).cast("double").alias(f) for f in features])
-    return rows.mapInPandas(run, f"signal_date date, company_id {panel.schema['company_id'].dataType.simpleString()}, elastic_score double, tree_score double")
+    # in order of the dates a batch meets few models
+    return rows.sortWithinPartitions("signal_date").mapInPandas(run, f"signal_date date, company_id {panel.schema['company_id'].dataType.simpleString()}, elastic_score double, tree_score double")
 
 
 def walk_forward(panel: DataFrame, months: Sequence, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, tree_grid=TREE_GRID) -> DataFrame:

@@ -1,10 +1,12 @@
 """Steps whose work once grew faster than their rows, against plain forms."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitgrid.operators import series
+from pitgrid.functions import groups
+from pitgrid.operators import boosting, learning, series
 from pitgrid.sources import writers
 
 
@@ -24,6 +26,53 @@ def test_long_means_come_from_short_frames(spark, n):
             assert (got[s, i] is None) if not some else np.isclose(got[s, i], np.mean(some), rtol=0, atol=1e-12, equal_nan=True)
 
 
+def test_quantiles_of_prefixes_copy_no_rows(spark):
+    rng = np.random.default_rng(5)
+    days = pd.date_range("2020-01-31", periods=30, freq="ME").date
+    p = pd.DataFrame({"f": rng.choice(["x", "y"], 900, p=[0.9, 0.1]), "day": rng.choice(days, 900), "v": np.round(rng.standard_t(2, 900), 1)})
+    p.loc[:200, "v"] = 0.0
+    p.loc[850:, "v"] = np.nan
+    df = spark.createDataFrame([(r.f, r.day, None if np.isnan(r.v) else float(r.v)) for r in p.itertuples()] + [("x", None, 9.0)], "f string, day date, v double")
+    ends = [days[0], *days[3:], days[-1].replace(year=2030)]
+    out = groups.prefix_quantiles(df, ["f"], "day", ends, "v", {"a": 0.1, "b": 0.5})
+    got = {(r.f, r.end): (r.n_all, r.a, r.b) for r in out.collect()}
+    want = {}
+    for e in ends:
+        for f, g in p[(p["day"] < e) & p["v"].notna()].groupby("f"):
+            want[f, e] = (len(g), g["v"].quantile(0.1), g["v"].quantile(0.5))
+    assert got.keys() == want.keys() and days[0] not in {e for _, e in got}
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_medians_of_training_sets_are_taken_by_prefix(spark, monkeypatch):
+    asked, real = [], learning.prefix_quantiles
+    monkeypatch.setattr(learning, "prefix_quantiles", lambda df, keys, day, ends, *rest: asked.append(len(ends)) or real(df, keys, day, ends, *rest))
+    day = lambda m: __import__("datetime").date(2020, m, 28)
+    df = spark.createDataFrame([(day(m), f"c{i}", float(m * i), 0.1) for m in range(1, 7) for i in range(5)], f"signal_date date, company_id string, a double, {learning.TARGET} double")
+    sets = learning.training_sets(df, [day(3), day(6)], ["a"])
+    assert asked == [2]
+    for e in (3, 6):
+        assert sets[day(e)].medians[0] == np.median([m * i for m in range(1, e) for i in range(5)])
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 16, 40])
+def test_scores_follow_the_nodes(leaves):
+    rng = np.random.default_rng(leaves)
+    x = np.round(rng.normal(size=(3000, 3)), 1)
+    model = boosting.boost(x, x[:, 0] * x[:, 1] + rng.normal(size=3000), 0.1, leaves, 5, 0.1)
+    trees = int(np.frombuffer(model, "<i8", 1, 8)[0])
+    nodes = np.frombuffer(model, boosting.NODE, offset=16 + 8 * trees)
+    z = np.vstack([x[:200], [[np.nan, 0.0, np.inf]]])
+    for row, got in zip(z, boosting.boosted_scores(model, z), strict=True):
+        total = np.frombuffer(model, "<f8", 1)[0]
+        for root in np.frombuffer(model, "<i8", trees, 16):
+            at = root
+            while nodes[at]["feature"] >= 0:
+                at = nodes[at]["left"] if row[nodes[at]["feature"]] <= nodes[at]["cut"] else nodes[at]["right"]
+            total += nodes[at]["value"]
+        assert got == total
+
+
 def test_the_register_counts_its_rows_once(spark):
     rows = spark.range(20).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("source_file_id"), F.lit("d").alias("dataset"), F.when(F.col("id") < 15, "valid").otherwise("bad").alias("verdict"))
     at = F.lit("2002-01-01").cast("timestamp_ntz")
