@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitgrid.functions import groups
-from pitgrid.operators import boosting, learning, series
+from pitgrid.operators import asof, boosting, learning, series
 from pitgrid.sources import writers
 
 
@@ -81,3 +81,43 @@ def test_the_register_counts_its_rows_once(spark):
     out = writers.source_register(known, rows, ["source_file_id", "dataset"], at)
     assert "Range (" not in out._jdf.queryExecution().toString()
     assert {(r.source_file_id, r.row_count) for r in out.collect()} == {("f0", 5), ("f1", 5), ("f2", 5), ("z", 4)}
+
+
+def vendor_facts(spark, period):
+    """Facts with repeats, ties, hidden rows and a null company; and the same as tuples."""
+    rng = np.random.default_rng(11)
+    at = lambda n: pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(n))
+    rows = []
+    for i in range(400):
+        e, a = rng.integers(0, 150, 2)
+        rows.append((["a", "b", None][rng.integers(0, 3)], ["net_income", "revenue"][rng.integers(0, 2)], at(30 * rng.integers(0, 4)).date(), at(e).to_pydatetime(),
+                     None if i % 29 == 0 else at(a).date(), at(200).to_pydatetime(), float(i), "USD", f"s{i % 7}"))
+    rows += rows[:40]
+    names = f"company_id string, metric string, {period} date, effective_at timestamp_ntz, as_of_date date, ingested_at timestamp_ntz, value double, unit string, source_file_id string"
+    return spark.createDataFrame(rows, names), rows
+
+
+def newest(rows, days):
+    out = {}
+    for day in days:
+        for r in rows:
+            if r[4] is not None and max(r[3].date(), r[4]) <= day:
+                key = (day, r[0], r[1])
+                out[key] = max(out.get(key, r), r, key=lambda x: x[2:])
+    return out
+
+
+def test_facts_are_dealt_once_by_company(spark):
+    days = [pd.Timestamp(d).date() for d in ("2024-01-31", "2024-03-29", "2024-06-30")]
+    dates = spark.createDataFrame([(d,) for d in days], "signal_date date")
+    facts, rows = vendor_facts(spark, "period_end")
+    found = asof.latest_asof_facts(facts, dates, "period_end")
+    want = newest(rows, days)
+    assert sorted(((r.signal_date, r.company_id, r.metric, r.value) for r in found.collect()), key=str) == sorted(((*k, v[6]) for k, v in want.items()), key=str)
+    wide = asof.pivot_metrics(found, ["revenue", "net_income"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    # one shuffle for the maxima, the window and the metrics of a company, and no sort in front of it
+    assert plan.count("Exchange hashpartitioning(company_id") == 1 and "Exchange hashpartitioning(signal_date" not in plan.split("BroadcastExchange")[0]
+    assert "Sort" not in plan[plan.index("Exchange hashpartitioning(company_id"):].split("BroadcastExchange")[0]
+    got = {(r.signal_date, r.company_id, m): r[m] for r in wide.collect() for m in ("revenue", "net_income") if r[m] is not None}
+    assert got == {k: v[6] for k, v in want.items()}
