@@ -121,3 +121,16 @@ def test_facts_are_dealt_once_by_company(spark):
     assert "Sort" not in plan[plan.index("Exchange hashpartitioning(company_id"):].split("BroadcastExchange")[0]
     got = {(r.signal_date, r.company_id, m): r[m] for r in wide.collect() for m in ("revenue", "net_income") if r[m] is not None}
     assert got == {k: v[6] for k, v in want.items()}
+
+
+def test_evidence_texts_are_made_before_the_dates(spark):
+    days = [pd.Timestamp(d).date() for d in ("2024-02-29", "2024-05-31")]
+    dates = spark.createDataFrame([(d,) for d in days], "signal_date date")
+    (a, rows), (b, _) = vendor_facts(spark, "period_end"), vendor_facts(spark, "fiscal_period")
+    out = asof.evidence_asof(a, b, dates)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("initcap") > plan.index("Generate explode") and plan.count("Exchange hashpartitioning(company_id") == 2
+    want = [(d, c, f"{r[8]}:{m}", {"revenue": "Revenue", "net_income": "Net Income"}[m], r[6], r[3]) for (d, c, m), r in newest(rows, days).items()]
+    got = [(r.signal_date, r.company_id, r.evidence_id, r.label, r.value, r.effective_at) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want + want, key=str)
+    assert out.columns == ["signal_date", "company_id", "evidence_id", "label", "value", "unit", "effective_at", "source_file_id", "field"]
