@@ -33,6 +33,8 @@ PARTS = 4096
 COUNTERS = 1 << 10
 #: A summary loses less than this part of the threshold.
 SPARE = 8
+#: Splits of the texts that a task of the exact pass takes.
+SPLITS = 4
 #: Words that a task remembers the hashes of.
 KNOWN = 1 << 18
 
@@ -142,10 +144,17 @@ def _counts(texts: DataFrame, first: int, last: int, table=None) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long")
 
 
+def gathered(texts: DataFrame) -> DataFrame:
+    """``texts`` in tasks of ``SPLITS`` splits each, without a shuffle; two tasks a core remain where there are that many splits."""
+    splits = texts.rdd.getNumPartitions()
+    return texts.coalesce(max(1, min(splits, max(2 * texts.sparkSession.sparkContext.defaultParallelism, splits // SPLITS))))
+
+
 def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
     """(lang, phrase, n): occurrences of every phrase whose hash and parts are in ``table``; phrase '' counts the words of the language.
 
-    A task adds up ``HELD`` phrases by their hashes before they leave it; what leaves is summed by the phrases themselves.
+    A task adds up ``HELD`` phrases by their hashes before they leave it; what leaves is summed by the phrases themselves. Nearly every task finds
+    nearly every frequent phrase, of which a longer text has more, so tasks take several splits: fewer parts of each sum leave.
     """
     buffer = BUFFER
 
@@ -183,7 +192,7 @@ def exact_counts(texts: DataFrame, longest: int, table) -> DataFrame:
         yield from leave()
 
     find_package(texts.sparkSession)
-    return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return gathered(texts).mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 class Summary:

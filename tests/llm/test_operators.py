@@ -746,3 +746,14 @@ def test_apart_pairs_lose_no_pair(spark):
     assert want <= {tuple(sorted((r.a, r.b))) for r in pairs.collect()}
     linked = setjoin.agreeing(pairs, sets)
     assert {tuple(sorted((r.a, r.b))) for r in linked.collect()} == want
+
+
+def test_exact_counts_take_several_splits_a_task(spark):
+    texts = spark.range(0, 900, 1, 300).select(F.lit("en").alias("lang"), F.lit("a b").cast("binary").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    assert collocations.gathered(texts).rdd.getNumPartitions() == min(300, max(2 * cores, 75))
+    assert collocations.gathered(texts.coalesce(1)).rdd.getNumPartitions() == 1
+    known = collocations.survivors(collocations._counts(texts, 1, 2), 100)
+    found = collocations.exact_counts(texts, 2, collocations.bit_table(known))
+    assert "Coalesce" in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("en", "", 1800), ("en", "a", 900), ("en", "a b", 900), ("en", "b", 900)]
