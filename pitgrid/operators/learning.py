@@ -1,7 +1,7 @@
 """Walk-forward models: one elastic net and one boosted-tree score per month.
 
 All training sets are the panel before some date. Elastic nets need sums of products only: these are taken once per month, and a prefix of months
-gives every training set its covariances. Trees are fitted in parallel, one task per training set and setting, on ``MAX_TRAIN_ROWS`` rows at most.
+gives every training set its covariances. Trees are fitted on all rows, dealt to as many tasks as run side by side; rows beyond ``HELD_ROWS`` lie in files.
 The driver holds medians, sums and models, whose number and size depend on months, features and settings and not on rows.
 """
 
@@ -16,11 +16,12 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pitgrid.functions.groups import prefix_quantiles, quantiles, with_average_ranks
+from pitgrid.functions.groups import join_days, prefix_quantiles, quantiles, with_average_ranks
 from pitgrid.functions.staging import stage
-from pitgrid.operators.boosting import boost, boosted_scores
+from pitgrid.operators.boosting import HELD_ROWS, array, binned, boosted_scores, grown
 from pitgrid.session import importable
 
 # Window rules and search grids.
@@ -34,8 +35,6 @@ DEFAULT_TREE = (0.05, 15)
 ROUNDS = 150
 TREE_L2 = 0.1
 TARGET = "next_month_excess_return"
-#: Rows that a tree model is fitted on; a larger training set is thinned to it by a hash of its rows.
-MAX_TRAIN_ROWS = 1_000_000
 
 
 class LookAheadError(ValueError):
@@ -52,8 +51,6 @@ def walk_forward_split(panel: DataFrame, months: DataFrame, target: str = TARGET
 
     Monthly counts are summed over earlier months; the panel is read once.
     """
-    from pyspark.sql import Window as W
-
     counts = panel.where(F.col(target).isNotNull()).groupBy("signal_date").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(F.lit(1)).orderBy("signal_date").rowsBetween(W.unboundedPreceding, -1)  # one row per month
     df = months.select("signal_date").distinct().join(counts, "signal_date", "left").fillna(0, ["_n"])
@@ -173,31 +170,65 @@ def linear_scores(t: TrainingSet, weights: np.ndarray, x: np.ndarray, scale: flo
     return t.target_mean + scale * (((x - t.means) / t.deviations) @ weights)
 
 
-def fit_trees(panel: DataFrame, fits: Sequence[tuple], sets: dict, masks: dict, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, max_rows: int = MAX_TRAIN_ROWS) -> dict[tuple, bytes]:
-    """Model per fit (end, rate, leaves), each fitted in a task of its own on the labelled rows before its end, gaps filled with the medians.
+def fit_trees(panel: DataFrame, fits: Sequence[tuple], sets: dict, masks: dict, features: Sequence[str], target: str = TARGET, rounds: int = ROUNDS, max_rows: int = HELD_ROWS) -> dict[tuple, bytes]:
+    """Model per fit (end, rate, leaves), each fitted on all labelled rows before its end, gaps filled with the medians.
 
-    ``masks`` has the usable features per end. A set of more than ``max_rows`` rows is thinned by a hash of date and company.
+    ``masks`` has the usable features per end. Fits are dealt to tasks, no more than run side by side. All training sets are prefixes of one line of rows, so
+    a task gets the rows of its longest one once, each with its place in the line, whatever the shuffle. A task holds ``max_rows`` rows in memory at a time and the
+    others in files.
     """
     fits, features = list(fits), list(features)
     if not fits:
         return {}
-    part = F.pmod(F.xxhash64("signal_date", "company_id"), F.lit(1 << 20)) / float(1 << 20)
-    jobs = F.array(*[F.struct(F.lit(i).alias("fit"), F.lit(e).alias("end"), F.lit(max_rows / max(sets[e].rows, 1)).alias("share")) for i, (e, _, _) in enumerate(fits)])
-    wanted = F.filter(jobs, lambda j: (j["end"] > F.col("signal_date")) & (part < j["share"]))
-    rows = panel.where(F.col(target).isNotNull()).withColumn("_fit", F.explode(wanted))
-    rows = rows.select(F.col("_fit.fit").alias("fit"), *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"), "signal_date", "company_id")
+    spark = panel.sparkSession
+    dealt = deal_fits(fits, {e: sets[e].rows for e, _, _ in fits}, max(1, spark.sparkContext.defaultParallelism))
+    last = [max(fits[i][0] for i in some) for some in dealt]
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    known = panel.where(F.col(target).isNotNull() & F.col("signal_date").isNotNull()).select("signal_date", "company_id", *values, F.col(target).cast("double").alias("_y"))
+    counts = known.groupBy("signal_date").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("signal_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per month
+    order = W.partitionBy("signal_date").orderBy(F.asc_nulls_last("company_id"), "_y", *features)
+    line = join_days(known.withColumn("_at", F.row_number().over(order) - 1), counts.select("signal_date", before.alias("_before")), ["signal_date"])
+    tasks = F.array(*[F.struct(F.lit(i).alias("task"), F.lit(e).alias("end")) for i, e in enumerate(last)])
+    wanted = F.transform(F.filter(tasks, lambda j: j["end"] > F.col("signal_date")), lambda j: j["task"])
+    rows = line.select(F.explode(wanted).alias("_task"), (F.col("_before") + F.col("_at")).alias("_at"), *features, "_y")
     medians, usable = {e: sets[e].medians for e, _, _ in fits}, {e: np.flatnonzero(masks[e]) for e, _, _ in fits}
+    sizes = {e: sets[e].rows for e, _, _ in fits}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}  # columns of a task's rows, the target last
+        for batch in batches:
+            task, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            columns = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(2, batch.num_columns)]
+            for i in np.unique(task).tolist():
+                some = task == i
+                if i not in held:
+                    held[i] = [array(sizes[last[i]], np.float64, max_rows) for _ in columns]
+                for column, values in zip(held[i], columns, strict=True):
+                    column[at[some]] = values[some]
+        for i, columns in held.items():
+            end, edges, place = None, [], []
+            for k in sorted(dealt[i], key=lambda k: fits[k][0]):
+                if fits[k][0] != end:
+                    end = fits[k][0]
+                    edges, place = binned([columns[j][: sizes[end]] for j in usable[end]], medians[end][usable[end]], max_rows)
+                model = grown(edges, place, columns[-1][: sizes[end]], *fits[k][1:], rounds, TREE_L2, max_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([model], pa.binary())], ["fit", "model"])
+
+    importable(spark)
+    found = rows.repartitionById(len(dealt), "_task").mapInArrow(run, "fit int, model binary").collect()  # months x settings models
+    return {fits[r["fit"]]: bytes(r["model"]) for r in found}
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        end, rate, leaves = fits[key[0]]
-        rows = rows.sort_values(["signal_date", "company_id", "_y"])  # one order, whatever the shuffle
-        x = filled(rows, features, medians[end])[:, usable[end]]
-        return pd.DataFrame({"fit": [key[0]], "model": [boost(x, rows["_y"].to_numpy(), rate, leaves, rounds, TREE_L2)]})
 
-    importable(panel.sparkSession)
-    # a fixed number of partitions, so that small sets are not fitted one after another in one task
-    found = rows.repartition(4 * len(fits), "fit").groupBy("fit").applyInPandas(run, "fit int, model binary").collect()  # months x settings models
-    return {fits[r["fit"]]: bytes(r["model"]) for r in found}
+def deal_fits(fits: Sequence[tuple], rows: dict, tasks: int) -> list[list[int]]:
+    """Numbers of the fits of each task: the one with the most rows and leaves goes to the task that has the least to do."""
+    work = {i: rows[end] * leaves for i, (end, _, leaves) in enumerate(fits)}
+    dealt, load = [[] for _ in range(min(tasks, len(fits)))], [0] * min(tasks, len(fits))
+    for i in sorted(work, key=lambda i: (-work[i], i)):
+        least = load.index(min(load))
+        dealt[least].append(i)
+        load[least] += work[i] + 1
+    return dealt
 
 
 def filled(rows: pd.DataFrame, features: Sequence[str], medians: np.ndarray) -> np.ndarray:

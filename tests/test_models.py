@@ -100,3 +100,27 @@ def test_large_training_sets_are_thinned(spark):
     sets = learning.training_sets(df, [end], ["a", "b", "c"])
     model = learning.fit_trees(df, [(end, 0.1, 7)], sets, {end: sets[end].seen}, ["a", "b", "c"], rounds=2, max_rows=200)
     assert len(model) == 1
+
+
+def test_every_row_of_a_large_training_set_is_learned(spark):
+    rows, df = sample(spark)
+    end = max(r[0] for r in rows)
+    sets = learning.training_sets(df, [end], ["a", "b", "c"])
+    fits = [(end, 0.1, 7), (end, 0.05, 15)]
+    train = sorted((r[0], r[1], r[6], *r[2:5]) for r in rows if r[0] < end)
+    assert sets[end].rows == len(train) > 5 * 200
+    x = np.array([[sets[end].medians[j] if v is None else v for j, v in enumerate(r[3:])] for r in train])
+    for held in (200, 10_000):  # beyond it arrays lie in files
+        models = learning.fit_trees(df.repartition(7), fits, sets, {end: sets[end].seen}, ["a", "b", "c"], rounds=20, max_rows=held)
+        for f in fits:
+            whole = boosting.boost(x, np.array([r[2] for r in train]), *f[1:], 20, learning.TREE_L2)
+            assert boosting.boosted_scores(models[f], x) == pytest.approx(boosting.boosted_scores(whole, x), abs=1e-12)
+    dealt = learning.deal_fits([(m, 0.1, 7) for m in range(9)], {m: m + 1 for m in range(9)}, 4)
+    assert sorted(i for some in dealt for i in some) == list(range(9)) and len(dealt) == 4
+
+
+def test_files_and_parts_change_no_bins():
+    x = np.random.default_rng(2).normal(size=5000)
+    assert np.array_equal(boosting.bin_edges(x, held=97), np.unique(np.quantile(x, np.linspace(0, 1, boosting.BINS + 1)[1:-1])))
+    few = np.round(x)
+    assert np.array_equal(boosting.bin_edges(few, held=97), (np.unique(few)[:-1] + np.unique(few)[1:]) / 2)
