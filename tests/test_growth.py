@@ -134,3 +134,24 @@ def test_evidence_texts_are_made_before_the_dates(spark):
     got = [(r.signal_date, r.company_id, r.evidence_id, r.label, r.value, r.effective_at) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want + want, key=str)
     assert out.columns == ["signal_date", "company_id", "evidence_id", "label", "value", "unit", "effective_at", "source_file_id", "field"]
+
+
+def test_indicators_shuffle_rows_once_and_join_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, i, *sorted(float(v) for v in np.round(rng.uniform(5, 9, 3), 2))) for s, k in (("a", 700), ("b", 2), (None, 300)) for i in range(k)]
+    df = spark.createDataFrame([(s, i, lo, c, hi) for s, i, lo, c, hi in rows], "sym string, d int, low double, close double, high double")
+    out = series.indicators(df, "sym", "d")
+    got = {(r.sym, r.d): r for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for s in ("a", "b", None):
+        num = den = up = down = 0.0
+        weight, last = 0.0, None
+        for t, d, _, close, _ in (r for r in rows if r[0] == s):
+            num, den = close + num * 9 / 11, 1 + den * 9 / 11
+            assert got[s, d].close_10_ema == pytest.approx(num / den, rel=1e-12)
+            if last is not None:
+                up, down, weight = max(close - last, 0) + up * 13 / 14, max(last - close, 0) + down * 13 / 14, 1 + weight * 13 / 14
+                if down > 0:
+                    assert got[s, d].rsi == pytest.approx(100 - 100 / (1 + up / down), rel=1e-9)
+            last = close
