@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitgrid.functions import groups
-from pitgrid.operators import asof, boosting, learning, series
+from pitgrid.operators import asof, boosting, factors, learning, series
 from pitgrid.sources import writers
 
 
@@ -155,3 +155,46 @@ def test_indicators_shuffle_rows_once_and_join_nothing(spark):
                 if down > 0:
                     assert got[s, d].rsi == pytest.approx(100 - 100 / (1 + up / down), rel=1e-9)
             last = close
+
+
+def test_sector_zscores_leave_the_rows_where_they_are(spark):
+    rng = np.random.default_rng(3)
+    day = lambda m: __import__("datetime").date(2020, m, 28)
+    rows = [(day(m), f"c{i}", "ABC"[i % 3] if i < 18 else ("D" if i == 18 else None), float(rng.normal()), None if i % 4 == 0 else float(rng.normal()), 1.0) for m in (1, 2) for i in range(22)]
+    rows += [(day(1), "c1", "A", 9.0, -9.0, 1.0), (day(1), None, "A", 0.5, 0.5, 1.0), (None, "c1", "A", 0.5, 0.5, 1.0)]  # a key twice, no company, no date
+    p = pd.DataFrame(rows, columns=["signal_date", "company_id", "sector", "x", "y", "flat"])
+    df = spark.createDataFrame(rows, "signal_date date, company_id string, sector string, x double, y double, flat double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all were large
+    try:
+        unique = factors.sector_neutral_zscores(df.where("x < 9"), ["x", "y", "flat"])
+        assert "SortMergeJoin" not in unique._jdf.queryExecution().toString() and "hashpartitioning(company_id" not in unique._jdf.queryExecution().toString()
+        out = factors.sector_neutral_zscores(df, ["x", "y", "flat"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(out) == len(rows) and list(out[0].asDict()) == [*df.columns, "z_x", "z_y", "z_flat"]
+    want = {}
+    for d, of_day in p[p["signal_date"].notna()].groupby("signal_date"):
+        sector = of_day["sector"].fillna("*null*")
+        for i, r in of_day.iterrows():
+            mine = of_day[sector == sector[i]]
+            mine = mine if len(mine) >= 3 else of_day
+            for f in ("x", "y", "flat"):
+                v = mine[f].dropna()
+                c = v.clip(v.quantile(0.025), v.quantile(0.975))
+                z = 0.0 if c.std(ddof=0) == 0 else (np.clip(r[f], v.quantile(0.025), v.quantile(0.975)) - c.mean()) / c.std(ddof=0)
+                if r["company_id"] is not None and len(v) >= 3 and not np.isnan(z):
+                    want.setdefault((d, r["company_id"], f), []).append(z)
+    for r in out:
+        for f in ("x", "y", "flat"):
+            w = want.get((r.signal_date, r.company_id, f))
+            assert r[f"z_{f}"] == (None if w is None else pytest.approx(max(w), abs=1e-12))
+
+
+def test_asof_rows_stay_dealt_by_their_key(spark):
+    left = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), (None, 2, "z")], "k string, t int, v string")
+    right = spark.createDataFrame([("a", 2, 20.0), (None, 1, 10.0)], "k string, t int, w double")
+    out = asof.asof_join(left.repartition("k"), right.repartition("k"), ["k"], "t", "t", ["w"]).groupBy("k", "v").agg(F.max("w").alias("w"))
+    assert {(r.k, r.v): r.w for r in out.collect()} == {("a", "x"): None, ("a", "y"): 20.0, (None, "z"): 10.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("Exchange hashpartitioning") == 2  # one for each side

@@ -93,3 +93,10 @@ def test_prices_are_dealt_once(spark, tmp_path):
         assert old.schema.simpleString() == new.schema.simpleString()
         assert sorted(map(str, old.collect())) == sorted(map(str, new.collect()))
     assert "Exchange" not in t.prices_best._jdf.queryExecution().toString()
+
+
+def test_features_and_their_files_share_the_daily_bars(spark):
+    prices, asks = frames(spark, bars_of(1))
+    daily = factors.daily_bars(prices)
+    for of in (factors.market_features, factors.price_sources):
+        assert sorted(map(str, of(None, asks, LOOKBACK, daily).collect())) == sorted(map(str, of(prices, asks, LOOKBACK).collect())) != []
